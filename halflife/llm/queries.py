@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from halflife.llm import lines, mixing
+from halflife.llm import lines, mixing, quality, tokens
 
 QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_token_counts": tokens.op8_token_counts,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
