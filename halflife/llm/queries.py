@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from halflife.llm import jaccard, lines, mixing, quality, tokens
+from halflife.llm import decontam, jaccard, lines, mixing, quality, tokens
 
 QUERIES = {
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_decontaminate": decontam.op7_decontaminate,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": lines.op10_line_dedup,
