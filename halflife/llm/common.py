@@ -65,3 +65,17 @@ def ascii_lower(text: Column) -> Column:
 def hash128(x: Column) -> Column:
     """128 bits as a struct of two longs, for keys of which a collision may not happen in practice."""
     return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(0x5BD1E995), x).alias("b"))
+
+
+#: Up to so many ids (16 MB) are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is in ids; rows without doc_id stay.
+
+    A small id table, checked by a count, is broadcast; a larger one is joined by a shuffle.
+    """
+    ids = stored(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)

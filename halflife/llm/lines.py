@@ -49,16 +49,16 @@ def line_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept, row) for every row of docs; row is the whole input row as a struct.
+    """(doc_id, n_lines, n_dropped, kept, rest) for every row of docs; rest has its other columns, and whether the text is null.
 
     Keys of at least min_chars code points found in at least min_docs documents lose all their lines except
     in the largest doc_id holding them. A null or empty text is one empty line. Repeated rows are treated
-    alike; no row is lost or added. Columns besides doc_id and text pass through inside row.
+    alike; no row is lost or added. Columns besides text pass through inside rest.
     """
     drops = line_drops(docs, min_chars, min_docs)
     base = docs.select(
         F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"),
-        F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"),
+        F.struct(*[docs[c] for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null")).alias("rest"),
     )
     lines = F.split("text", "\n")
     cut = base.join(drops, ["doc_id", "text_hash"], "left").select("doc_id", "rest", "positions", "text", lines.alias("lines"))

@@ -22,6 +22,8 @@ LEVEL_BITS = 10
 LEVELS = 3
 #: A source's documents are dealt over so many tasks where they meet its thresholds.
 SALTS = 32
+#: Up to so many sources are broadcast with their cuts; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -95,25 +97,49 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def document_hash() -> Column:
+    """60 bits from doc_id and text: reruns agree, and repeated rows share their fate."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(6), "doc_id", "text"), 4)
+
+
+def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, hash) of every row of docs, and each source's targets and cuts."""
+    hashed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash().alias("hash"))
+    sized = stored(hashed, "mix-sizes")  # narrow rows; the texts are read once
+    targets = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
+    return sized, stored(thresholds(sized, targets), "mix-cuts")
+
+
+def with_cuts(rows: DataFrame, cuts: DataFrame, hashed: str) -> DataFrame:
+    """rows with source_size, target and copies of their source added: few sources are broadcast, many shuffled in salted groups."""
+    few = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    named = cuts.withColumnRenamed("source", "_source")
+    on = rows["source"].eqNullSafe(named["_source"])
+    if few:
+        joined = rows.join(F.broadcast(named), on)
+    else:
+        salted = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        joined = rows.join(salted, on & (F.pmod(F.col(hashed), F.lit(SALTS)) == salted["_salt"])).drop("_salt")
+    copies = F.size(F.filter("cuts", lambda c: F.col(hashed) < c)).cast("long")
+    return joined.withColumn("copies", copies).drop("cuts", "_source")
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, source, size, source_size, target, copies), one row for each row of docs.
+    """(doc_id, size, source_size, target, copies), one row for each row of docs.
 
-    A document's hash is taken from its doc_id and text, so reruns agree and repeated rows share their fate.
     Null sources are one source, weighed last; null texts have size 0 and are taken as their hash says. No
-    document is taken more than MAX_REPEATS times.
+    document is taken more than MAX_REPEATS times, and each source's sum ends nearest to its target.
     """
-    hashed = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "source", n_words(F.col("text")).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(6), "doc_id", "text"), 4).alias("hash"),
-    )
-    sized = stored(hashed, "mix-sizes")  # narrow rows; the texts are read once
-    targets = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    cuts = thresholds(sized, targets).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    left = sized.withColumn("salt", F.pmod(F.col("hash"), F.lit(SALTS)).cast("int"))
-    return left.join(cuts, [left["salt"] == cuts["salt"], left["source"].eqNullSafe(cuts["source"])]).select(
-        "doc_id", "text_hash", left["source"], "size", "source_size", "target",
-        F.size(F.filter("cuts", lambda c: F.col("hash") < c)).cast("long").alias("copies"),
-    )
+    sized, cuts = plan(docs)
+    return with_cuts(sized, cuts, "hash").select("doc_id", "size", "source_size", "target", "copies")
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with a column copies added: how often each is taken."""
+    _, cuts = plan(docs)
+    kept = [c for c in docs.columns if c != "copies"]
+    rows = with_cuts(docs.select(*kept, document_hash().alias("_hash")), cuts.select("source", "cuts"), "_hash")
+    return rows.where("copies > 0").select(*kept, "copies")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
