@@ -3,7 +3,7 @@
 Method. Equal sets are one node. Each node is dealt to tiles, one for each shingle of its prefix: under one
 order of all shingles (rare hash buckets first) two sets that reach the threshold must meet in a prefix. Tiles
 are cut into bands of sizes that can reach the threshold together. Within a tile's band a hashed
-bitmap of each set (every shingle flips one of BITS bits) bounds the overlap from above: the bits that differ
+bitmap of each set, or of slices of a large set, (every shingle flips one of BITS bits) bounds the overlap from above: the bits that differ
 are at most the elements that differ. Surviving pairs make clusters; within a cluster the sorted shingle
 arrays are intersected exactly, but for pairs that are connected already. Clusters of any size are dealt in
 blocks, so no group meets in one task.
@@ -23,6 +23,8 @@ from halflife.llm.shingles import node, shingles, words
 WIDTH = 4
 PERCENT = 85
 BITS = 512
+#: Larger sets are cut into 2, 4, 8, ... slices.
+SLICE = 1_000
 #: The order of shingles comes from counts of so many hash buckets over all documents.
 BUCKET_BITS = 17
 #: Rows of a tile's block; nodes and shingles of a cluster's block.
@@ -55,7 +57,7 @@ def _buckets(s: np.ndarray) -> np.ndarray:
 
 def bitmap(s: np.ndarray) -> bytes:
     """Bit b is set if an odd number of shingles hash to b."""
-    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount(((s >> np.uint64(16)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -65,6 +67,22 @@ def prefix(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, rank[_buckets(s)]))[:n]]
 
 
+def slices(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(parts, part, shingles): a large set cut by hash so that a bitmap can tell its slices apart.
+
+    If two sets reach the threshold, some slice of theirs does, as ratios of sums go. Both must be cut into
+    equally many parts, so a set whose smallest partner has half as many comes in both cuts.
+    """
+    def parts(n: int) -> int:
+        return 1 << max(0, (max(n - 1, 0) // SLICE).bit_length())
+
+    out = []
+    for n in sorted({parts(len(s)), parts((percent * len(s)) // 100)}):
+        part = s & np.uint64(n - 1)
+        out += [(n, c, s if n == 1 else s[part == c]) for c in range(n)]
+    return [x for x in out if len(x[2])]
+
+
 def sizes_fit(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     return 100 * small >= percent * large
 
@@ -131,11 +149,11 @@ def describe(docs: DataFrame, width: int, seed: int = 0) -> tuple[DataFrame, np.
 
 
 def tile_rows(docs: DataFrame, rank, width: int, percent: int, seed: int) -> DataFrame:
-    """(tile, node, size, band) for the nodes that meet another of a fitting size in a tile.
+    """(tile, node, size, slice, band) for the slices of nodes that meet another of a fitting size in a tile.
 
-    A band is a run of sizes in which neighbours fit; it bears its smallest size.
+    A slice is named by the number of parts plus its own number. A band is a run of sizes in which neighbours fit; it bears its smallest size.
     """
-    schema = [("tile", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("band", pa.int64())]
+    schema = [("tile", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("slice", pa.int64()), ("band", pa.int64())]
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # of a fixed size
 
     def deal(batches):
@@ -146,17 +164,18 @@ def tile_rows(docs: DataFrame, rank, width: int, percent: int, seed: int) -> Dat
                 s = shingles(words(t), width)
                 if len(s) and (name := node(s, seed)[0]) not in seen:
                     seen.add(name)
-                    p = prefix(s, rank, percent).view(np.int64)
-                    out.append((p, np.full(len(p), name), np.full(len(p), len(s))))
+                    for n, c, part in slices(s, percent):
+                        p = prefix(part, rank, percent) ^ np.uint64(n - 1)  # other cuts, other tiles
+                        out.append((p.view(np.int64), *(np.full(len(p), v) for v in (name, len(part), n + c))))
             if out:
-                yield _out(schema[:3], [np.concatenate(c) for c in zip(*out, strict=True)])
+                yield _out(schema[:4], [np.concatenate(c) for c in zip(*out, strict=True)])
 
     def meet(batches):
         # Rows come sorted by tile, size and node: a row has a partner of a fitting size if a neighbour fits,
         # and sizes on two sides of a gap never fit, so a gap begins a new band.
         last, last_kept, last_band = None, False, 0
         for b in batches:
-            x = np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
+            x = np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
             if last is not None:
                 x = np.concatenate([last[None], x])
             x = x[np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)]]
@@ -173,7 +192,7 @@ def tile_rows(docs: DataFrame, rank, width: int, percent: int, seed: int) -> Dat
         if last is not None and last_kept:
             yield _out(schema, [[v] for v in (*last, last_band)])
 
-    kind = "tile long, node long, size long"
+    kind = "tile long, node long, size long, slice long"
     dealt = docs.where("text is not null").select("text").mapInArrow(deal, kind)
     return dealt.repartition("tile").sortWithinPartitions("tile", "size", "node").mapInArrow(meet, f"{kind}, band long")
 
@@ -184,16 +203,18 @@ def chosen_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def arrays(docs: DataFrame, ids: DataFrame, width: int, seed: int) -> DataFrame:
-    """(node, size, bits, set) of the documents in ids: the sorted shingle arrays, 8 bytes an element."""
-    schema = [("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("set", pa.binary())]
+def arrays(docs: DataFrame, ids: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """(node, size, bits, set, slices) of the documents in ids: the sorted shingle arrays, 8 bytes an element, and each slice's bitmap."""
+    of_slices = pa.list_(pa.struct([("slice", pa.int64()), ("bits", pa.binary())]))
+    schema = [("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("set", pa.binary()), ("slices", of_slices)]
 
     def run(batches):
         for texts in _texts(batches, 1):
             sets = [shingles(words(t), width) for (t,) in texts]
-            yield _out(schema, [[node(s, seed)[0] for s in sets], [len(s) for s in sets], [bitmap(s) for s in sets], [s.tobytes() for s in sets]])
+            yield _out(schema, [[node(s, seed)[0] for s in sets], [len(s) for s in sets], [bitmap(s) for s in sets], [s.tobytes() for s in sets],
+                                 [[{"slice": n + c, "bits": bitmap(p)} for n, c, p in slices(s, percent)] for s in sets]])
 
-    return chosen_docs(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, "node long, size long, bits binary, set binary")
+    return chosen_docs(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, "node long, size long, bits binary, set binary, slices array<struct<slice: long, bits: binary>>")
 
 
 def _bits(column) -> np.ndarray:
@@ -317,9 +338,16 @@ def links(docs: DataFrame, sets: DataFrame, rank, width: int, percent: int, seed
     """(u, v) between nodes: edges that have the components of all links, each of them a link or implied by links."""
     rows = stored(tile_rows(docs, rank, width, percent, seed), "tile-rows")
     ids = sets.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    known = stored(arrays(docs, stored(ids, "ids"), width, seed).dropDuplicates(["node"]), "arrays")
-    guess = candidates(rows.join(known.select("node", "bits"), "node"), percent)
+    known = arrays(docs, stored(ids, "ids"), width, percent, seed)
+    if sets.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated rows
+        known = known.dropDuplicates(["node"])
+    known = stored(known, "arrays")
+    bits = known.select("node", F.inline("slices"))
+    guess = candidates(rows.join(bits, ["node", "slice"]), percent)
     clusters = stored(components(guess).withColumnRenamed("root", "cluster"), "clusters")
+    if clusters.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        clusters = F.broadcast(clusters)
+    known = known.drop("slices")
     # A cluster's blocks hold BLOCK nodes and BLOCK_ITEMS shingles or so.
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_ITEMS))).cast("int")
     sized = known.select("node", "size").join(clusters, "node").groupBy("cluster").agg(blocks.alias("blocks"))
