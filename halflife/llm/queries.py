@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from halflife.llm import decontam, jaccard, lines, mixing, quality, tokens
+from halflife.llm import decontam, jaccard, licenses, lines, mixing, quality, tokens
 
 QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_decontaminate": decontam.op7_decontaminate,
@@ -15,5 +16,6 @@ QUERIES = {
 
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests.
 ORACLE_SQL = {
+    "op2_license_scan": licenses.ORACLE,
     "op10_line_dedup": lines.ORACLE,
 }
