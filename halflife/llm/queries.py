@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from halflife.llm import decontam, jaccard, licenses, lines, mixing, quality, tokens
+from halflife.llm import decontam, jaccard, licenses, lines, mixing, quality, tokens, warc
 
 QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
+    "op5_arc_to_warc": warc.op5_arc_to_warc,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_token_counts": tokens.op8_token_counts,
@@ -17,5 +18,6 @@ QUERIES = {
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests.
 ORACLE_SQL = {
     "op2_license_scan": licenses.ORACLE,
+    "op5_arc_to_warc": warc.ORACLE,
     "op10_line_dedup": lines.ORACLE,
 }
