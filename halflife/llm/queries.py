@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from halflife.llm import decontam, jaccard, licenses, lines, lmscore, mixing, quality, tokens, warc
+from halflife.llm import decontam, jaccard, licenses, lines, lmscore, mixing, quality, repeats, tokens, warc
 
 QUERIES = {
     "op1_lm_score": lmscore.op1_lm_score,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_arc_to_warc": warc.op5_arc_to_warc,
     "op6_mix_sources": mixing.op6_mix_sources,
