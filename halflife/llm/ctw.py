@@ -108,13 +108,16 @@ class Model:
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.depth = len(counts) - 1
         codes = [c for c, _ in counts]
-        numbers = [n.astype(float) for _, n in counts]
-        up = [None] + [np.searchsorted(codes[d - 1], codes[d] & ((1 << (8 * d)) - 1)) for d in range(1, self.depth + 1)]
-        bits = [np.zeros(len(c)) for c in codes]
+        # Half-width numbers: this runs on the driver.
+        numbers = [n.astype(np.float32) for _, n in counts]
+        up = [None] + [np.searchsorted(codes[d - 1], codes[d] & ((1 << (8 * d)) - 1)).astype(np.int32) for d in range(1, self.depth + 1)]
+        bits = [np.zeros(len(c), np.float32) for c in codes]
         for k in range(8):
             nodes = self._nodes(codes, numbers, up, k)
-            mixed, left = np.zeros(len(codes[0])), np.ones(len(codes[0]))
-            for d, (of, estimate, weight) in enumerate(nodes):
+            mixed, left = np.zeros(len(codes[0]), np.float32), np.ones(len(codes[0]), np.float32)
+            for d in range(len(codes)):
+                of, estimate, weight = nodes[d]
+                nodes[d] = None
                 if d:
                     mixed, left = mixed[up[d]], left[up[d]]
                 bits[d] += np.log2(mixed + left * estimate)
@@ -133,10 +136,10 @@ class Model:
                 below = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
                 continue
             at = _starts(codes[d] >> (8 - k))
-            of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(codes[d])]))
-            bit = (codes[d] >> (7 - k)) & 1
-            total = np.add.reduceat(numbers[d], at)
-            ones = np.add.reduceat(numbers[d] * bit, at)
+            of = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(codes[d])]))
+            bit = ((codes[d] >> (7 - k)) & 1).astype(bool)
+            total = np.add.reduceat(numbers[d], at, dtype=float)
+            ones = np.add.reduceat(np.where(bit, numbers[d], np.float32(0)), at, dtype=float)
             own = log_kt(total - ones, ones)
             if below is None or not len(below[0]):
                 weighted, weight = own, np.ones(len(at))
@@ -148,8 +151,8 @@ class Model:
                 deeper += own * (1 - np.minimum(1, np.bincount(parent, sums, len(at)) / total))
                 weighted = np.logaddexp(own, deeper) + np.log(0.5)
                 weight = np.exp(np.minimum(0, own + np.log(0.5) - weighted))
-            hits = np.where(bit == 1, ones[of], total[of] - ones[of])
-            out.append((of, (hits + 0.5) / (total[of] + 1.0), weight))
+            of_ones, of_zeros = ((x / (total + 1)).astype(np.float32) for x in (ones + 0.5, total - ones + 0.5))
+            out.append((of, np.where(bit, of_ones[of], of_zeros[of]), weight.astype(np.float32)))
             below = (at, weighted, total)
         return out[::-1]
 
@@ -160,8 +163,8 @@ class Model:
             return Table(codes, bits)
         at = _starts(codes >> 8)
         n = np.diff(np.r_[at, len(codes)])
-        left = np.maximum(1 - np.add.reduceat(np.exp2(bits), at), 1e-12)
-        of = 256 - n if higher is None else np.maximum(1 - np.add.reduceat(np.exp2(higher), at), 1e-12)
+        left = np.maximum(1 - np.add.reduceat(np.exp2(bits), at, dtype=float), 1e-9)
+        of = 256 - n if higher is None else np.maximum(1 - np.add.reduceat(np.exp2(higher), at, dtype=float), 1e-9)
         return Table(codes[at] >> 8, np.log2(left / np.maximum(of, 1e-12)))
 
     def log2(self, codes: np.ndarray) -> np.ndarray:

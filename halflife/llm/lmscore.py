@@ -15,7 +15,7 @@ from halflife.llm.shingles import words
 
 #: Most contexts with a byte that the model holds of one depth (12 bytes each on a worker). Where a corpus has
 #: more, those with the smallest counts are left to their shorter contexts; every byte is counted and scored.
-MAX_ENTRIES = 3_000_000
+MAX_ENTRIES = 1_500_000
 #: Frequent words are looked up on the workers: so many at most, of at most so many bytes. Others are joined.
 FREQUENT = 100_000
 LONGEST = 64
@@ -125,8 +125,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = MAX_ENTRIES) ->
     counts = stored(word_counts(train), "words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = {bytes(r["word"]): r["n"] for r in top}
+    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
+    frequent = dict(zip(*(c.to_pylist() for c in top.columns), strict=True))
     # Bounded: FREQUENT words of LONGEST bytes, and the model's entries.
     shared = docs.sparkSession.sparkContext.broadcast((frequent, train_ctw(train, depth, most)))
 
