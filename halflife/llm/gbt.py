@@ -44,7 +44,7 @@ def constant(p: float) -> Forest:
     return Forest(none.astype(np.int64), none, none.astype(np.int64), none.astype(np.int64), none, float(np.log(p / (1 - p))), 0)
 
 
-def fit(x, y, monotone, rounds=60, depth=3, rate=0.2, bins=64, l2=1.0, least=5.0) -> Forest:
+def fit(x, y, monotone, rounds=60, depth=3, rate=0.2, bins=64, l2=1.0, least=1.0) -> Forest:
     """Newton boosting of the logistic loss over feature histograms.
 
     monotone has +1, -1 or 0 for each feature: the log odds never fall, never rise, or do as they like in it.

@@ -108,8 +108,13 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
 
 
 def iso_date(digits: str) -> str:
-    """ARC's 14 digits (or the first 8 to 13 of them) as WARC's time."""
-    return datetime.strptime(digits.ljust(14, "0")[:14], "%Y%m%d%H%M%S").replace(tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    """ARC's 14 digits, or the first of them, as WARC's time; what lacks is that of 1970-01-01. Raises ArcError for no date."""
+    whole = "".join(c for c in digits if c != "-")[:14]
+    try:
+        then = datetime.strptime(whole + "19700101000000"[len(whole) :], "%Y%m%d%H%M%S")
+    except ValueError:
+        raise ArcError(f"no date: {digits!r}") from None
+    return then.replace(tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def record_id(url: str, date: str, digest: str) -> str:
