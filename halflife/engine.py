@@ -96,7 +96,7 @@ class Engine:
         c = self.config(name)
         new = writes.apply_agent(writes.checked_dim(writes.with_defaults(rows, now_ms() if now is None else now), c.dim), c.agent)
         new = new.dropDuplicates(["id"])
-        plain = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in VECTORS.fields])
+        plain = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in VECTORS.fields])
         old = self.vectors(name)
         if c.agent.enabled and c.agent.dedup_threshold is not None:
             both = old.select("id", "embedding", F.lit(0).alias("created_at")).unionByName(plain.select("id", "embedding", F.lit(1).alias("created_at")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halflife.schema import SearchOptions, check_edge_type
+from halflife.sources.scratch import stored
 
 
 def out_edges(edges: DataFrame, node, kind: str | None = None) -> DataFrame:
@@ -22,7 +23,8 @@ def _of(edges: DataFrame, kind: str | None, direction: str = "out") -> DataFrame
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, kind: str | None = None, direction: str = "out") -> DataFrame:
     """(seed, node, hop): what each seed reaches within so many hops, itself left out, with the fewest hops.
 
-    One join a hop, on the frontier only; what was reached before is taken away with an anti join.
+    One join a hop, on the frontier only; what was reached before is taken away with an anti join. From the
+    third hop on each frontier is stored, else the plan would double with every hop; an empty one ends the search.
     """
     step = _of(edges, kind, direction)
     start = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
@@ -31,6 +33,10 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, kind: str | None = None
     for hop in range(1, hops + 1):
         found = frontier.join(step, frontier["node"] == step["a"]).select("seed", F.col("b").alias("node")).distinct()
         frontier = found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).alias("hop"))
+        if hop > 2:
+            frontier = stored(frontier, "frontier")
+            if frontier.isEmpty():
+                break
         seen = seen.unionAll(frontier)
     return seen.where("hop > 0")
 

@@ -95,7 +95,7 @@ class Tables:
         return self.spark.read.schema(T.StructType([*CHANGES.fields, T.StructField("crc", T.LongType())])).parquet(path) if self._exists(path) else writes.with_checksum(self.spark.createDataFrame([], CHANGES))
 
     def append_changes(self, table: str, changes: DataFrame) -> None:
-        writes.with_checksum(changes.select(*[F.col(f.name).cast(f.dataType) for f in CHANGES.fields])).write.mode("append").parquet(f"{self.root}/{table}/_log")
+        writes.with_checksum(changes.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in CHANGES.fields])).write.mode("append").parquet(f"{self.root}/{table}/_log")
 
     def replayed(self, table: str) -> tuple[DataFrame, DataFrame]:
         """(vectors, edges) after the whole log; records with a bad checksum are passed over."""
