@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.sources.scratch import scratch_path
+from halflife.sources.scratch import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space that separates words and is stripped from lines: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there.
-
-    Cuts the lineage: a lost executor costs a new read and not a new computation, and every later
-    use sees the same rows.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the bytes of an Arrow batch to 16 MB where the session has the default: texts are long, workers are small."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "16m")
 
 
 def ascii_lower(text: Column) -> Column:

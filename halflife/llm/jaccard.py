@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.llm.common import documents, stored
+from halflife.llm.common import documents, small_batches, stored
 from halflife.llm.components import components
 from halflife.llm.shingles import node, shingles, words
 
@@ -387,6 +387,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     null component_id and link with nothing. No cap: every pair that reaches the threshold is found, copies
     count through their common set.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
     for seed in range(8):

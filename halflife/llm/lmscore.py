@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.llm.common import documents, stored
+from halflife.llm.common import documents, small_batches, stored
 from halflife.llm.ctw import DEPTH, Model, pieces
 from halflife.llm.shingles import words
 
@@ -120,6 +120,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = MAX_ENTRIES) ->
     the tokens, the end included. Null texts are empty: one token, the end. With no training rows counts are 0
     and every byte costs eight bits. Repeated rows count and are scored each; rows without doc_id are scored only.
     """
+    small_batches(docs.sparkSession)
     docs = with_fold(docs)
     train = docs.where("learn")
     counts = stored(word_counts(train), "words")

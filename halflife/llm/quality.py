@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halflife.llm import gbt
-from halflife.llm.common import documents
+from halflife.llm.common import documents, small_batches
 
 #: The trees are fitted on the labelled documents with the smallest hashes, so many at most.
 SAMPLE_ROWS = 20_000
@@ -90,6 +90,7 @@ def assess(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c), t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
     # Non-deterministic only to the optimizer: a filter on the verdict then does not compute the column twice.
+    small_batches(docs.sparkSession)
     udf = F.arrow_udf(batch, f"struct<{schema}>").asNondeterministic()
     return docs.withColumn("_quality", udf(F.col("text").cast("binary")))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.llm.common import documents, stored
+from halflife.llm.common import documents, small_batches, stored
 
 LENGTH = 200
 K = 48
@@ -302,6 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text of length bytes or more, go wholly. Null texts are empty and keep nothing. Bytes may be cut within a
     character: the hash is of the bytes that remain.
     """
+    small_batches(docs.sparkSession)
     names, seed = named_texts(docs)
     named = docs.where("text is not null").select("doc_id", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias("name"), "text")
     spans, texts = repeated_spans(named, names, length)

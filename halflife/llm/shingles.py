@@ -7,7 +7,7 @@ import xxhash
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
-CACHE = 500_000
+CACHE = 150_000
 
 
 class _Hashes(dict):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.llm.common import documents
+from halflife.llm.common import documents, small_batches
 
 #: The frequent table comes from this many documents at most, those with the smallest hashes, and has so many
 #: entries at most. It only saves work: a count never depends on it.
@@ -111,6 +111,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, sample_docs: int = SAMPLE
     Counts are those of the tokenizers library for the file, without added special tokens; special strings
     inside texts are what the library makes of them by default. Rows are independent: repeated rows repeat.
     """
+    small_batches(docs.sparkSession)
     spec = open(tokenizer_path, encoding="utf-8").read()
     spark = docs.sparkSession
     # Bounded: one tokenizer file, and FREQUENT entries of LONGEST_CACHED characters.
