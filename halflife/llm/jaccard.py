@@ -35,6 +35,8 @@ BLOCK_ITEMS = 2_000_000
 LEADERS = 8
 #: Up to so many ids are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Up to so many bitmaps (30 MB) are broadcast.
+BROADCAST_BITMAPS = 300_000
 
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 
@@ -203,18 +205,35 @@ def chosen_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def arrays(docs: DataFrame, ids: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """(node, size, bits, set, slices) of the documents in ids: the sorted shingle arrays, 8 bytes an element, and each slice's bitmap."""
-    of_slices = pa.list_(pa.struct([("slice", pa.int64()), ("bits", pa.binary())]))
-    schema = [("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("set", pa.binary()), ("slices", of_slices)]
-
+def _of_texts(docs: DataFrame, ids: DataFrame, schema, kind: str, columns) -> DataFrame:
+    """columns(sets) of the documents in ids, a list of texts at a time."""
     def run(batches):
         for texts in _texts(batches, 1):
-            sets = [shingles(words(t), width) for (t,) in texts]
-            yield _out(schema, [[node(s, seed)[0] for s in sets], [len(s) for s in sets], [bitmap(s) for s in sets], [s.tobytes() for s in sets],
-                                 [[{"slice": n + c, "bits": bitmap(p)} for n, c, p in slices(s, percent)] for s in sets]])
+            yield _out(schema, columns([words(t) for (t,) in texts]))
+
+    return chosen_docs(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, kind)
+
+
+def bitmaps(docs: DataFrame, ids: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """(node, slices) of the documents in ids: the bitmap of each slice."""
+    of_slices = pa.list_(pa.struct([("slice", pa.int64()), ("bits", pa.binary())]))
+
+    def columns(found):
+        sets = [shingles(w, width) for w in found]
+        return [[node(s, seed)[0] for s in sets], [[{"slice": n + c, "bits": bitmap(p)} for n, c, p in slices(s, percent)] for s in sets]]
+
+    return _of_texts(docs, ids, [("node", pa.int64()), ("slices", of_slices)], "node long, slices array<struct<slice: long, bits: binary>>", columns)
+
+
+def arrays(docs: DataFrame, ids: DataFrame, width: int, seed: int) -> DataFrame:
+    """(node, size, bits, set) of the documents in ids: the sorted shingle arrays, 8 bytes an element."""
+    schema = [("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("set", pa.binary())]
+
+    def columns(found):
+        sets = [shingles(w, width) for w in found]
+        return [[node(s, seed)[0] for s in sets], [len(s) for s in sets], [bitmap(s) for s in sets], [s.tobytes() for s in sets]]
 
-    return chosen_docs(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, "node long, size long, bits binary, set binary, slices array<struct<slice: long, bits: binary>>")
+    return _of_texts(docs, ids, schema, "node long, size long, bits binary, set binary", columns)
 
 
 def _bits(column) -> np.ndarray:
@@ -337,22 +356,25 @@ def verify(dealt: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, rank, width: int, percent: int, seed: int) -> DataFrame:
     """(u, v) between nodes: edges that have the components of all links, each of them a link or implied by links."""
     rows = stored(tile_rows(docs, rank, width, percent, seed), "tile-rows")
-    ids = sets.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    known = arrays(docs, stored(ids, "ids"), width, percent, seed)
-    if sets.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated rows
-        known = known.dropDuplicates(["node"])
-    known = stored(known, "arrays")
-    bits = known.select("node", F.inline("slices"))
-    guess = candidates(rows.join(bits, ["node", "slice"]), percent)
+    ids = sets.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"))
+    ids = stored(ids, "ids")
+    repeated = sets.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    bits = bitmaps(docs, ids.select("doc_id").distinct(), width, percent, seed)
+    bits = stored((bits.dropDuplicates(["node"]) if repeated else bits).select("node", F.inline("slices")), "bitmaps")
+    small = bits.limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS
+    guess = candidates(rows.join(F.broadcast(bits) if small else bits, ["node", "slice"]), percent)
     clusters = stored(components(guess).withColumnRenamed("root", "cluster"), "clusters")
-    if clusters.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        clusters = F.broadcast(clusters)
-    known = known.drop("slices")
+    members = ids.join(clusters, "node")
+    # Only what bitmaps could not tell apart is compared exactly, so only its arrays are made.
+    known = arrays(docs, members.select("doc_id").distinct(), width, seed)
+    known = known.dropDuplicates(["node"]) if repeated else known
+    few = clusters.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     # A cluster's blocks hold BLOCK nodes and BLOCK_ITEMS shingles or so.
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_ITEMS))).cast("int")
-    sized = known.select("node", "size").join(clusters, "node").groupBy("cluster").agg(blocks.alias("blocks"))
-    large = stored(sized.where("blocks > 1"), "large")
-    members = known.join(clusters, "node")
+    large = stored(members.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    members = known.join(F.broadcast(clusters) if few else clusters, "node")
+    if large.limit(1).count():
+        members = stored(members, "members")
     found = stored(verify(members.join(large, "cluster", "left_anti").select("*", F.lit(0).alias("block"), F.lit(0).alias("side")), percent), "links")
     if not large.limit(1).count():
         return found
