@@ -394,14 +394,14 @@ def eval_cohort(spark, sf_dir):
     return evaluate.cohorts(ranks, fx.queries(spark, sf_dir).select("query_id", (F.col("query_id") % 2).alias("cohort")))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents WHERE lang = 'en'),
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents),
 h AS (SELECT doc_id, w, sha256(w) AS h FROM w WHERE w <> ''),
 b AS (SELECT doc_id, ('0x' || substr(h, 63, 2))::INTEGER & 127 AS bucket, sum(CASE WHEN ('0x' || substr(h, 62, 1))::INTEGER & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * (1 + 0.15::DOUBLE * length(w))) AS x FROM h GROUP BY 1, 2),
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM b GROUP BY doc_id)
 SELECT doc_id, bucket, round(x / n, 6) AS weight FROM b JOIN n USING (doc_id) WHERE n > 0 AND abs(x) > 1e-9""")
 def doc_hashed_embedding(spark, sf_dir):
     # Sums that cancel leave rounding noise, which differs by the order of addition.
-    rows = codec.hashed_embedding(fx.read(spark, sf_dir, "documents").where("lang = 'en'"))
+    rows = codec.hashed_embedding(fx.read(spark, sf_dir, "documents"))
     return rounded(rows.where(F.abs("weight") > 1e-12), "weight")
 
 
@@ -435,9 +435,9 @@ def durability_table(spark, sf_dir):
     return evaluate.durability_table(spark, [(4, 2), (6, 3), (10, 4), (14, 4)], 0.004).select("k", "m", F.round("nines", 4).alias("nines"))
 
 
-@query("SELECT count(*) AS n_nodes, count(*) FILTER (s_suppkey % 5 <> 0) AS n_healthy, count(*) FILTER (s_suppkey % 5 = 0) AS n_failed, CASE WHEN count(*) FILTER (s_suppkey % 5 = 0) = 0 THEN 'OK' WHEN count(*) FILTER (s_suppkey % 5 = 0) <= 4 THEN 'DEGRADED (repairing)' ELSE 'CRITICAL — DATA LOSS RISK' END AS status FROM supplier WHERE s_suppkey <= 14")
+@query("SELECT count(*) AS n_nodes, count(*) FILTER (s_suppkey % 5 <> 0) AS n_healthy, count(*) FILTER (s_suppkey % 5 = 0) AS n_failed, CASE WHEN count(*) FILTER (s_suppkey % 5 = 0) = 0 THEN 'OK' WHEN count(*) FILTER (s_suppkey % 5 = 0) <= 4 THEN 'DEGRADED (repairing)' ELSE 'CRITICAL — DATA LOSS RISK' END AS status FROM supplier")
 def durability_report(spark, sf_dir):
-    nodes = fx.read(spark, sf_dir, "supplier").where("s_suppkey <= 14").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") % 5 != 0).alias("healthy"))
+    nodes = fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") % 5 != 0).alias("healthy"))
     return evaluate.durability_report(nodes, 10, 4, 0.004).select("n_nodes", "n_healthy", "n_failed", "status")
 
 
