@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -127,7 +128,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = MAX_ENTRIES) ->
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
-    frequent = dict(zip(*(c.to_pylist() for c in top.columns), strict=True))
+    frequent = {w: math.log10(c + 1) for w, c in zip(*(c.to_pylist() for c in top.columns), strict=True)}
     # Bounded: FREQUENT words of LONGEST bytes, and the model's entries.
     shared = docs.sparkSession.sparkContext.broadcast((frequent, train_ctw(train, depth, most)))
 
@@ -144,13 +145,19 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = MAX_ENTRIES) ->
                 for t in texts:
                     seen = Counter(t.split())
                     seen[b""] = 1
-                    hot = [(k, frequent[w]) for w, k in seen.items() if w in frequent]
                     tokens.append(sum(seen.values()))
-                    known.append(sum(k for k, _ in hot))
-                    logs.append(float(sum(k * np.log10(c + 1) for k, c in sorted(hot))))
-                    rest = [(w, k) for w, k in seen.items() if w not in frequent]
-                    rare.append([w for w, _ in rest])
-                    times.append([k for _, k in rest])
+                    hits, log, rest, rest_times = 0, 0.0, [], []
+                    for w, k in seen.items():
+                        if (x := frequent.get(w)) is None:
+                            rest.append(w)
+                            rest_times.append(k)
+                        else:
+                            hits += k
+                            log += k * x
+                    known.append(hits)
+                    logs.append(log)
+                    rare.append(rest)
+                    times.append(rest_times)
                 yield _rows([
                     ("doc_id", part.column("doc_id")), ("held_out", part.column("held_out")), ("n_bytes", pa.array([len(t) for t in texts], pa.int64())),
                     ("n_tokens", pa.array(tokens, pa.int64())), ("known", pa.array(known, pa.int64())), ("logs", pa.array(logs, pa.float64())), ("bits", pa.array(bits)),
