@@ -7,16 +7,23 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from halflife.llm.common import documents, small_batches, stored
-from halflife.llm.ctw import DEPTH, Model, pieces
+from halflife.llm.ctw import DEPTH, Block, Model, Table, pieces, top_model
 from halflife.llm.shingles import words
 
-#: Most contexts with a byte that the model holds of one depth (12 bytes each on a worker). Where a corpus has
-#: more, those with the smallest counts are left to their shorter contexts; every byte is counted and scored.
-MAX_ENTRIES = 1_500_000
+#: Contexts of two bytes are dealt to so many groups, and each group's contexts are weighted together.
+GROUPS = 256
+#: Groups are weighted together until they have so many contexts with a byte; a larger group goes alone, whole.
+TOGETHER = 500_000
+#: Contexts with a byte in one row of the table of all.
+ROW = 200_000
+#: Bytes of packed codes that a worker passes on at once.
+SENT = 4 << 20
 #: Frequent words are looked up on the workers: so many at most, of at most so many bytes. Others are joined.
 FREQUENT = 100_000
 LONGEST = 64
@@ -55,117 +62,247 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def context_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(code, n): how often each byte follows each context of depth bytes in the texts of train."""
+def _merged(held) -> tuple[np.ndarray, np.ndarray]:
+    codes, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, numbers = codes[order], numbers[order]
+    at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[at], np.add.reduceat(numbers, at)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Longs by place of their bytes, which compress well; sorted codes are packed as differences."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _codes(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(x))
+
+
+def _runs(x: np.ndarray):
+    """(first, end) of the stretches of equal numbers."""
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) if len(x) else np.zeros(1, np.int64)
+    return zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a column batch: one number for each Arrow batch of rows. Store it: another run may number otherwise."""
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        for number, b in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), (task << 32) + number))], [*b.schema.names, "batch"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("batch", LongType())]))
+
+
+def batch_codes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(part, batch, codes, n): each batch's codes by group, once each, and how often its rows to learn have them (0 where only others do)."""
     def run(batches):
-        held, size = [], 0
         for b in batches:
-            for codes, _ in pieces(((t.as_py() or "").encode().lower() for t in b.column(0)), depth):
-                held.append(np.unique(codes, return_counts=True))
-                size += len(held[-1][0])
-                if size > 8 * FLUSH:
-                    held = [merge(held)]
-                    size = len(held[0][0])
-                    if size > 4 * FLUSH:
-                        yield out(*held[0])
-                        held, size = [], 0
+            number = b.column("batch").to_numpy()
+            for lo, hi in _runs(number):
+                held = []
+                texts, learn = b.column("text").slice(lo, hi - lo), b.column("learn").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+                for wanted in (True, False):
+                    picked = texts.filter(pa.array(learn == wanted))
+                    for codes, _ in pieces(((t.as_py() or "").encode().lower() for t in picked), depth):
+                        codes, n = np.unique(codes, return_counts=True)
+                        held.append((codes, n if wanted else np.zeros_like(n)))
+                codes, n = _merged(held)
+                part = ((((codes >> 8) & 0xFFFF) * 40_503 & 0xFFFF) * GROUPS >> 16).astype(np.int16)
+                order = np.argsort(part, kind="stable")
+                part, codes, n = part[order], codes[order], n[order]
+                cuts = list(_runs(part))
+                yield _rows([
+                    ("part", pa.array([int(part[i]) for i, _ in cuts], pa.int32())), ("batch", pa.array(np.full(len(cuts), number[lo]), pa.int64())),
+                    ("codes", pa.array([_packed(np.diff(codes[i:j], prepend=0)) for i, j in cuts], pa.binary())), ("n", pa.array([_packed(n[i:j]) for i, j in cuts], pa.binary())),
+                ])
+
+    return rows.select("batch", "learn", "text").mapInArrow(run, "part int, batch long, codes binary, n binary")
+
+
+def _by_part(batches):
+    """(part, the rows' columns but part, one by one) in the order of the rows."""
+    for b in batches:
+        names = [n for n in b.schema.names if n != "part"]
+        for part, *x in zip(b.column("part").to_pylist(), *(b.column(n) for n in names), strict=True):
+            yield part, dict(zip(names, x, strict=True))
+
+
+def context_table(pairs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> DataFrame:
+    """(part, codes, n): every code of batch_codes() with its number, whole; and rows (k, node, logs, total) of Block.sums, with part null."""
+    empty = {"part": pa.int32(), "codes": pa.binary(), "n": pa.binary(), "k": pa.int32(), "node": pa.int64(), "logs": pa.float64(), "total": pa.float64()}
+
+    def out(size, **given):
+        return _rows([(c, pa.array(given[c], kind) if c in given else pa.nulls(size, kind)) for c, kind in empty.items()])
+
+    def run(batches):
+        now, held, size, together, gathered, ready = None, [], 0, [], 0, []
+
+        def table():
+            nonlocal ready
+            for at in range(0, len(held[0][0]), ROW):
+                codes, n = (x[at : at + ROW] for x in held[0])
+                ready.append((now, _packed(np.diff(codes, prepend=0)), _packed(n)))
+                if sum(len(x[1]) for x in ready) > SENT:
+                    yield passed_on()
+
+        def passed_on():
+            nonlocal ready
+            (part, codes, n), ready = zip(*ready, strict=True), []
+            return out(len(part), part=part, codes=codes, n=n)
+
+        def sums():
+            k, node, logs, total = Block(*_merged(together), depth).sums()
+            return out(len(k), k=k.astype(np.int32), node=node, logs=logs, total=total)
+
+        for part, row in _by_part(batches):
+            if part != now and held:
+                held = [_merged(held)]
+                yield from table()
+                together.append(held[0])
+                gathered += len(held[0][0])
+                held, size = [], 0
+                if gathered >= most:
+                    yield sums()
+                    together, gathered = [], 0
+            now = part
+            held.append((_codes(row["codes"].as_py()), _unpacked(row["n"].as_py())))
+            size += len(held[-1][0])
+            if size > 4 * TOGETHER + 2 * len(held[0][0]):
+                held = [_merged(held)]
+                size = len(held[0][0])
         if held:
-            yield out(*merge(held))
-
-    def merge(held):
-        codes, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(codes, kind="stable")
-        codes, numbers = codes[order], numbers[order]
-        at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        return codes[at], np.add.reduceat(numbers, at)
-
-    def out(codes, numbers):
-        return _rows([("code", pa.array(codes, pa.int64())), ("n", pa.array(numbers, pa.int64()))])
-
-    return train.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _bounded(counts: DataFrame, most: int, least: int) -> tuple[DataFrame, int]:
-    """counts with the smallest numbers left out until at most `most` rows remain, and the number that stays."""
-    # The histogram has 10,000 rows at most; one count that exceeds them would hold over `most` rows.
-    sizes = {r["n"]: r["rows"] for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).collect()}
-    total = sum(v for n, v in sizes.items() if n >= least)
-    for n in sorted(sizes):
-        if total <= most:
-            break
-        if n >= least:
-            total -= sizes[n]
-            least = n + 1
-    return counts.where(F.col("n") >= least), least
-
-
-def train_ctw(train: DataFrame, depth: int = DEPTH, most: int = MAX_ENTRIES) -> Model:
-    """The model of the texts of train. Counts cover all of them; the driver sees at most `most` rows a depth."""
-    deepest = stored(context_counts(train, depth), "contexts")
-    counts, least = [], 1
-    for d in range(depth + 1):
-        at = deepest if d == depth else deepest.groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        kept, least = _bounded(at if d == depth else stored(at, "contexts"), most, least)
-        got = kept.toArrow()
-        codes, numbers = (got.column(c).to_numpy() for c in ("code", "n"))
-        order = np.argsort(codes)
-        counts.append((codes[order], numbers[order]))
-    return Model(counts)
-
-
-def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = MAX_ENTRIES) -> DataFrame:
+            held = [_merged(held)]
+            yield from table()
+            together.append(held[0])
+        if ready:
+            yield passed_on()
+        if together:
+            yield sums()
+
+    dealt = pairs.select("part", "codes", "n").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "part int, codes binary, n binary, k int, node long, logs double, total double")
+
+
+def train_top(table: DataFrame) -> Model:
+    """The model's depths before SPLIT. At most 8 x 65,536 sums and 65,536 numbers reach the driver, whatever the corpus."""
+    got = table.where("part is null").groupBy("k", "node").agg(F.sum("logs").alias("logs"), F.sum("total").alias("total")).toArrow()
+    return top_model(*(got.column(c).to_numpy() for c in ("k", "node", "logs", "total")))
+
+
+def code_bits(pairs: DataFrame, table: DataFrame, top: Model, depth: int = DEPTH) -> DataFrame:
+    """(batch, codes, bits): for each batch its codes' log2 probabilities (floats), a group in a row."""
+    shared = pairs.sparkSession.sparkContext.broadcast(top)
+
+    def run(batches):
+        now, held, codes, bits, ready, size = None, [], None, None, [], 0
+        for part, row in _by_part(batches):
+            if part != now:
+                now, held, codes = part, [], None
+            if row["batch"].as_py() is None:
+                held.append((_codes(row["codes"].as_py()), _unpacked(row["n"].as_py())))
+                continue
+            if codes is None:
+                codes, n = _merged(held)
+                bits, held = Block(codes, n, depth).log2(codes, shared.value).astype(np.float32), []
+            packed = row["codes"].as_py()
+            ready.append((row["batch"].as_py(), packed, bits[np.searchsorted(codes, _codes(packed))].tobytes()))
+            size += len(packed)
+            if size > SENT:
+                yield out(ready)
+                ready, size = [], 0
+        if ready:
+            yield out(ready)
+
+    def out(ready):
+        return _rows([(c, pa.array(x, kind)) for c, kind, x in zip(("batch", "codes", "bits"), (pa.int64(), pa.binary(), pa.binary()), zip(*ready, strict=True), strict=True)])
+
+    rows = table.where("part is not null").select("part", F.lit(None).cast("long").alias("batch"), "codes", "n")
+    rows = rows.unionAll(pairs.select("part", "batch", "codes", F.lit(None).cast("binary").alias("n")))
+    return rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("batch")).mapInArrow(run, "batch long, codes binary, bits binary")
+
+
+def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     score is the log10 probability of the text, A-Z lower-cased, with its end, under context-tree weighting
     learned from the rows that with_fold() gives to training; base_score adds log10((c + 1) / (N + V + 1)) over
     the tokens, the end included. Null texts are empty: one token, the end. With no training rows counts are 0
     and every byte costs eight bits. Repeated rows count and are scored each; rows without doc_id are scored only.
+    The model keeps every context. Groups of contexts are weighted apart, and the log2 probabilities of a batch's
+    codes come back to it by a shuffle; most bounds how many small groups are weighted at a time, and no result.
     """
     small_batches(docs.sparkSession)
-    docs = with_fold(docs)
+    docs = stored(numbered(with_fold(docs)), "texts")
     train = docs.where("learn")
     counts = stored(word_counts(train), "words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
     frequent = {w: math.log10(c + 1) for w, c in zip(*(c.to_pylist() for c in top.columns), strict=True)}
-    # Bounded: FREQUENT words of LONGEST bytes, and the model's entries.
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, train_ctw(train, depth, most)))
+    # Bounded: FREQUENT words of LONGEST bytes.
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    pairs = stored(batch_codes(docs, depth), "codes")
+    table = stored(context_table(pairs, depth, most), "contexts")
 
-    def run(batches):
-        frequent, model = shared.value
+    def slices(batches):
+        """(rows, table of bits) of at most 256 rows of one batch."""
+        now, held, known = None, [], None
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                texts = [(t or "").encode().lower() for t in part.column("text").to_pylist()]
-                bits = np.zeros(len(texts))
-                for codes, owner in pieces(texts, depth):
-                    bits += np.bincount(owner, model.log2(codes), len(texts))
-                tokens, known, logs, rare, times = [], [], [], [], []
-                for t in texts:
-                    seen = Counter(t.split())
-                    seen[b""] = 1
-                    tokens.append(sum(seen.values()))
-                    hits, log, rest, rest_times = 0, 0.0, [], []
-                    for w, k in seen.items():
-                        if (x := frequent.get(w)) is None:
-                            rest.append(w)
-                            rest_times.append(k)
-                        else:
-                            hits += k
-                            log += k * x
-                    known.append(hits)
-                    logs.append(log)
-                    rare.append(rest)
-                    times.append(rest_times)
-                yield _rows([
-                    ("doc_id", part.column("doc_id")), ("held_out", part.column("held_out")), ("n_bytes", pa.array([len(t) for t in texts], pa.int64())),
-                    ("n_tokens", pa.array(tokens, pa.int64())), ("known", pa.array(known, pa.int64())), ("logs", pa.array(logs, pa.float64())), ("bits", pa.array(bits)),
-                    ("rare", pa.array(rare, pa.list_(pa.binary()))), ("times", pa.array(times, pa.list_(pa.int64()))),
-                ])
+            number, coded = b.column("batch").to_numpy(), ~b.column("codes").is_null().to_numpy(zero_copy_only=False)
+            for lo, hi in _runs(number * 2 + coded):
+                if number[lo] != now:
+                    now, held, known = number[lo], [], None
+                if coded[lo]:
+                    for c, x in zip(b.column("codes").slice(lo, hi - lo), b.column("bits").slice(lo, hi - lo), strict=True):
+                        held.append((_codes(c.as_py()), np.frombuffer(x.as_py(), np.float32)))
+                    continue
+                if known is None:
+                    known, held = Table(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                for at in range(lo, hi, 256):
+                    yield b.slice(at, min(256, hi - at)), known
+
+    def run(batches):
+        frequent = shared.value
+        for part, known_bits in slices(batches):
+            texts = [(t or "").encode().lower() for t in part.column("text").to_pylist()]
+            bits = np.zeros(len(texts))
+            for codes, owner in pieces(texts, depth):
+                bits += np.bincount(owner, known_bits.get(codes)[0], len(texts))
+            tokens, known, logs, rare, times = [], [], [], [], []
+            for t in texts:
+                seen = Counter(t.split())
+                seen[b""] = 1
+                tokens.append(sum(seen.values()))
+                hits, log, rest, rest_times = 0, 0.0, [], []
+                for w, k in seen.items():
+                    if (x := frequent.get(w)) is None:
+                        rest.append(w)
+                        rest_times.append(k)
+                    else:
+                        hits += k
+                        log += k * x
+                known.append(hits)
+                logs.append(log)
+                rare.append(rest)
+                times.append(rest_times)
+            yield _rows([
+                ("doc_id", part.column("doc_id")), ("held_out", part.column("held_out")), ("n_bytes", pa.array([len(t) for t in texts], pa.int64())),
+                ("n_tokens", pa.array(tokens, pa.int64())), ("known", pa.array(known, pa.int64())), ("logs", pa.array(logs, pa.float64())), ("bits", pa.array(bits)),
+                ("rare", pa.array(rare, pa.list_(pa.binary()))), ("times", pa.array(times, pa.list_(pa.int64()))),
+            ])
 
     kind = "doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, logs double, bits double, rare array<binary>, times array<long>"
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, kind)
+    scored = code_bits(pairs, table, train_top(table), depth)
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    rows = docs.select("batch", "doc_id", "held_out", "text", none("codes", "binary"), none("bits", "binary"))
+    rows = rows.unionAll(scored.select("batch", none("doc_id", "long"), none("held_out", "boolean"), none("text", "string"), "codes", "bits"))
+    rows = rows.repartition("batch").sortWithinPartitions("batch", F.col("codes").isNull()).mapInArrow(run, kind)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # stored, so the numbers stay
     each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     added = each.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"))
