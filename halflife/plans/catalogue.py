@@ -133,8 +133,8 @@ R AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 
 
 @query(f"WITH {_batch_sql()} SELECT query_id, rank, id, round(score, 6) AS score, round(sim, 6) AS vector_score, round(tw, 6) AS temporal_score FROM T")
-def batch_topk(spark, sf_dir):
-    return rounded(search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir), AT, CONFIG), *SCORES)
+def batch_topk(spark, sf_dir, wanted=fx.FIRST):
+    return rounded(search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, wanted), AT, CONFIG), *SCORES)
 
 
 @query(f"""WITH {V}, {Q}, P AS (SELECT * FROM V, Q ORDER BY {COS} DESC, id LIMIT 40), S AS (SELECT id, {COS} AS sim, {TW} AS tw, 0.7 * ({COS}) + 0.3 * ({TW}) AS score FROM P WHERE {LIVE})
@@ -255,8 +255,8 @@ def graph_path(spark, sf_dir):
 
 
 @query(f"WITH RECURSIVE {E}, {_hops_sql(2, seeds='SELECT vec_id AS seed FROM embeddings WHERE vec_id < 5')} SELECT seed AS node FROM S UNION SELECT node FROM R")
-def graph_expand(spark, sf_dir):
-    return graph.expand(fx.edges(spark, sf_dir), fx.queries(spark, sf_dir).select("query_id"), 2)
+def graph_expand(spark, sf_dir, wanted=fx.FIRST):
+    return graph.expand(fx.edges(spark, sf_dir), fx.queries(spark, sf_dir, wanted).select("query_id"), 2)
 
 
 @query(f"""WITH {E}, B AS (SELECT src AS node, 1 AS o, 0 AS i FROM E UNION ALL SELECT tgt, 0, 1 FROM E) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM B GROUP BY node""")
@@ -336,12 +336,12 @@ def prometheus_text(spark, sf_dir):
     return trace.prometheus(trace.server_counters(fx.read(spark, sf_dir, "events")).where("metric in ('requests', 'errors')"))
 
 
-def _found(spark, sf_dir) -> DataFrame:
-    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir), AT, CONFIG)
+def _found(spark, sf_dir, wanted=fx.FIRST) -> DataFrame:
+    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, wanted), AT, CONFIG)
 
 
-def _cosine_truth(spark, sf_dir) -> DataFrame:
-    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir), AT, CONFIG, SearchOptions(blend=0.0))
+def _cosine_truth(spark, sf_dir, wanted=fx.FIRST) -> DataFrame:
+    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, wanted), AT, CONFIG, SearchOptions(blend=0.0))
 
 
 TRUTH = f"C AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM B) WHERE n <= 10)"
@@ -349,14 +349,14 @@ TRUTH = f"C AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER
 
 @query(f"""WITH {_batch_sql()}, {TRUTH}, H AS (SELECT C.query_id, count(T.id) / 10.0 AS recall FROM C LEFT JOIN T USING (query_id, id) GROUP BY C.query_id)
 SELECT round(avg(recall), 6)::DOUBLE AS recall, count(*) AS n_queries FROM H""")
-def eval_recall(spark, sf_dir):
-    return rounded(evaluate.recall_at_k(_found(spark, sf_dir), _cosine_truth(spark, sf_dir), 10), "recall")
+def eval_recall(spark, sf_dir, wanted=fx.FIRST):
+    return rounded(evaluate.recall_at_k(_found(spark, sf_dir, wanted), _cosine_truth(spark, sf_dir, wanted), 10), "recall")
 
 
-def _gold(spark, sf_dir) -> DataFrame:
+def _gold(spark, sf_dir, wanted=fx.FIRST) -> DataFrame:
     """The gold row of a query: the freshest row of its label, then the smallest id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "id")
-    rows = fx.queries(spark, sf_dir).select("query_id", "label").join(t_live(spark, sf_dir), "label")
+    rows = fx.queries(spark, sf_dir, wanted).select("query_id", "label").join(t_live(spark, sf_dir), "label")
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("query_id", F.col("id").alias("gold_id"))
 
 
@@ -371,27 +371,41 @@ K AS (SELECT G.query_id, gold_id, coalesce(min(rank) FILTER (id = gold_id), 11)
 @query(f"""WITH {_batch_sql()}, {GOLD} SELECT avg(CASE WHEN top1 = gold_id THEN 1.0 ELSE 0.0 END)::DOUBLE AS gold_at_1,
   avg(CASE WHEN top1 IN (SELECT id FROM V WHERE ({TW}) < 0.2) THEN 1.0 ELSE 0.0 END)::DOUBLE AS stale_at_1, avg(gold_rank)::DOUBLE AS mean_gold_rank,
   quantile_cont(gold_rank::DOUBLE, 0.5) AS median_gold_rank, avg(CASE WHEN top1 IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS empty_rate FROM K""")
-def eval_gold_rank(spark, sf_dir):
+def eval_gold_rank(spark, sf_dir, wanted=fx.FIRST):
     old = fx.vectors(spark, sf_dir).where(t.is_stale(t.temporal_weight("created_at", AT, CONFIG.half_life_ms), CONFIG)).select(F.col("id").alias("stale_id"))
-    stale = fx.queries(spark, sf_dir).select("query_id").crossJoin(old)  # five query rows
-    return evaluate.gold_summary(evaluate.gold_ranks(_found(spark, sf_dir), _gold(spark, sf_dir), 10), stale)
+    found = _found(spark, sf_dir, wanted)
+    stale = found.select("query_id", "id").join(old, F.col("id") == F.col("stale_id")).select("query_id", "stale_id")
+    return evaluate.gold_summary(evaluate.gold_ranks(found, _gold(spark, sf_dir, wanted), 10), stale)
 
 
 @query(f"""WITH {_batch_sql()}, {GOLD}, L AS (SELECT query_id, id, CASE WHEN id = gold_id THEN 3.0 ELSE 1.0 END AS rel FROM QS JOIN V ON label = qlabel JOIN G USING (query_id) WHERE {LIVE}),
 I AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(n + 1)) AS idcg FROM (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, id) AS n FROM L) WHERE n <= 5 GROUP BY query_id),
 D AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg FROM T JOIN L USING (query_id, id) WHERE rank <= 5 GROUP BY query_id)
 SELECT query_id, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM I LEFT JOIN D USING (query_id)""")
-def eval_ndcg(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
-    rows = fx.queries(spark, sf_dir).select("query_id", "label").join(t_live(spark, sf_dir), "label").join(gold, "query_id")
+def eval_ndcg(spark, sf_dir, wanted=fx.FIRST):
+    gold = _gold(spark, sf_dir, wanted)
+    rows = fx.queries(spark, sf_dir, wanted).select("query_id", "label").join(t_live(spark, sf_dir), "label").join(gold, "query_id")
     relevance = rows.select("query_id", "id", F.when(F.col("id") == F.col("gold_id"), 3.0).otherwise(1.0).alias("rel"))
-    return rounded(evaluate.ndcg(_found(spark, sf_dir), relevance), "ndcg")
+    return rounded(evaluate.ndcg(_found(spark, sf_dir, wanted), relevance), "ndcg")
 
 
 @query(f"WITH {_batch_sql()}, {GOLD} SELECT query_id % 2 AS cohort, count(*) AS n, avg(CASE WHEN top1 = gold_id THEN 1.0 ELSE 0.0 END)::DOUBLE AS gold_at_1 FROM K GROUP BY 1")
-def eval_cohort(spark, sf_dir):
-    ranks = evaluate.gold_ranks(_found(spark, sf_dir), _gold(spark, sf_dir), 10)
-    return evaluate.cohorts(ranks, fx.queries(spark, sf_dir).select("query_id", (F.col("query_id") % 2).alias("cohort")))
+def eval_cohort(spark, sf_dir, wanted=fx.FIRST):
+    ranks = evaluate.gold_ranks(_found(spark, sf_dir, wanted), _gold(spark, sf_dir, wanted), 10)
+    return evaluate.cohorts(ranks, fx.queries(spark, sf_dir, wanted).select("query_id", (F.col("query_id") % 2).alias("cohort")))
+
+
+def _every50(f):
+    """f and its SQL once more, for all rows whose id is divisible by 50."""
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, fx.EVERY50)
+
+    run.__name__ = f"{f.__name__}_every50"
+    return query(SQL[f.__name__].replace(fx.FIRST, fx.EVERY50))(run)
+
+
+for _f in (batch_topk, graph_expand, eval_recall, eval_gold_rank, eval_ndcg, eval_cohort):
+    _every50(_f)
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents),

@@ -29,8 +29,12 @@ def query(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+#: The query rows of FIXTURES.md, and a query set that grows with the table.
+FIRST, EVERY50 = "vec_id < 5", "vec_id % 50 = 0"
+
+
+def queries(spark: SparkSession, sf_dir: str, wanted: str = FIRST) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where(wanted).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
