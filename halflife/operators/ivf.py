@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from halflife.functions import vector as v
 from halflife.operators.quantize import SAMPLE_ROWS, k_means, sample_matrix
-from halflife.operators.search import search
+from halflife.operators.search import batch_search, search, top_per_query
 from halflife.schema import SearchOptions, TemporalConfig
 
 
@@ -45,6 +45,17 @@ def ivf_search(assigned: DataFrame, centres: np.ndarray, query: Sequence[float],
     return search(probe(assigned, centres, query, n_probe), query, at, config, options)
 
 
+def batch_ivf_search(assigned: DataFrame, centres: np.ndarray, queries: DataFrame, n_probe: int, at: int, config: TemporalConfig, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """ivf_search for many queries (query_id, embedding): one batch search a list, for the queries that probe it, merged."""
+    lists = F.arrow_udf(lambda e: pa.array([nearest_lists(centres, x, n_probe) for x in e.to_pylist()], pa.list_(pa.int32())), "array<int>")
+    probing = queries.withColumn("lists", lists(F.col("embedding")))
+    found = None
+    for c in range(len(centres)):
+        part = batch_search(assigned.where(F.col("cluster") == c), probing.where(F.array_contains("lists", F.lit(c))), at, config, options).drop("rank")
+        found = part if found is None else found.unionAll(part)
+    return top_per_query(found, options.top_k)
+
+
 def ivf_distances(assigned: DataFrame, centres: np.ndarray, query: Sequence[float], n_probe: int, k: int) -> DataFrame:
     """(id, distance): squared L2 within the nearest lists."""
     rows = probe(assigned, centres, query, n_probe)

@@ -535,6 +535,17 @@ def pq_rescore(spark, sf_dir):
     return rounded(quantize.pq_rescored(quantize.encode(rows, book), book, q, AT, CONFIG), *SCORES)
 
 
+def _recall_every50(spark, sf_dir, found: DataFrame) -> DataFrame:
+    return evaluate.recall_at_k(found, _found(spark, sf_dir, fx.EVERY50), 10)
+
+
+@query()
+def ivf_recall_every50(spark, sf_dir):
+    rows, queries = fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, fx.EVERY50)
+    centres = ivf.train(rows, 16)
+    return _recall_every50(spark, sf_dir, ivf.batch_ivf_search(ivf.assign(rows, centres), centres, queries, 8, AT, CONFIG))
+
+
 def _stream_parts(rows: DataFrame, parts: int) -> str:
     path = scratch_path(rows.sparkSession, "stream")
     rows.repartition(parts).write.mode("overwrite").parquet(path)

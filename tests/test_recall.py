@@ -1,0 +1,19 @@
+"""Recall of the inverted lists over all rows whose id is divisible by 50."""
+
+import pytest
+
+from halflife.plans import catalogue
+
+
+@pytest.fixture(scope="module")
+def row(spark, sf):
+    return catalogue.ivf_recall_every50(spark, sf).first()
+
+
+def test_all_queries_count(row):
+    assert row["n_queries"] == 10 and 0 < row["recall"] <= 1
+
+
+@pytest.mark.xfail(reason="8 of 16 lists give less than 0.9; see the README")
+def test_inverted_lists(row):
+    assert row["recall"] >= 0.9
