@@ -1,11 +1,11 @@
-"""Context-tree weighting over bytes, in numpy: training from counts, and tables for fast scoring.
+"""Context-tree weighting over bytes, in numpy.
 
 A byte is eight binary decisions. For each decision (the bits of the byte so far) there is a tree of contexts:
 the preceding bytes, up to DEPTH of them. Every node has a Krichevsky-Trofimov estimate of its own counts and
 is weighted, one half each, against the product of its children; the weights after all training data mix the
-estimates of all depths. As a byte with its context fixes all its nodes, the mixture is kept as one number for
-each byte seen after a context of each depth. Bytes never seen after a context share what the mixture leaves
-them as they do one depth higher, so the probabilities of the 256 bytes add up to one.
+estimates of all depths. As a byte with its context fixes all its nodes, the mixture is one number for each
+code, a byte with its context. Codes that are only scored stand in the tree with the count 0, so their nodes
+without data give one half, and bytes never seen after a context need no rule of their own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 DEPTH = 5
-#: Depths before it are one small table (65,536 contexts with a byte at most); from it on, all codes of one context of SPLIT bytes form a block.
+#: Depths before it are one small table (65,536 contexts with a byte at most); from it on, all codes of one context of SPLIT bytes are weighted together.
 SPLIT = 2
 #: Stands before the first byte and after the last; 0xFF occurs in no UTF-8 text.
 START, END = b"\0", b"\xff"
@@ -104,171 +104,93 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted keys, and whether each wanted key is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
 def low(codes: np.ndarray, depth: int) -> np.ndarray:
     """The codes with so many bytes of context only."""
     return codes & ((1 << (8 * (depth + 1))) - 1)
 
 
-def _nodes(codes, numbers, up, k, below=None):
-    """For each depth: each entry's node, the estimate of its bit k there, and the nodes' weights of stopping; (first entry, logs, totals) of the first depth's nodes.
-
-    below, if given, has the nodes one depth under the last: (node of the last depth, logs, totals), summed by node.
-    """
-    out, deeper = [], None
-    for d in reversed(range(len(codes))):
-        if not len(codes[d]):
-            out.append((np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
-            deeper = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-            continue
-        at = _starts(codes[d] >> (8 - k))
-        of = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(codes[d])]))
-        bit = ((codes[d] >> (7 - k)) & 1).astype(bool)
-        total = np.add.reduceat(numbers[d], at, dtype=float)
-        ones = np.add.reduceat(np.where(bit, numbers[d], 0), at, dtype=float)
-        own = log_kt(total - ones, ones)
-        if d == len(codes) - 1 and below is not None:
-            parent, logs, sums = below
-            parent = np.searchsorted(codes[d][at] >> (8 - k), parent)
-        elif deeper is not None and len(deeper[0]):
-            first, logs, sums = deeper
-            parent = of[up[d + 1][first]]
-        else:
-            parent = None
-        if parent is None:
-            weighted, weight = own, np.ones(len(at))
-        else:
-            children = np.bincount(parent, logs, len(at))
-            # Data that no child holds (pruned contexts) is coded by the node itself.
-            children += own * (1 - np.minimum(1, np.bincount(parent, sums, len(at)) / total))
-            weighted = np.logaddexp(own, children) + np.log(0.5)
-            weight = np.exp(np.minimum(0, own + np.log(0.5) - weighted))
-        of_ones, of_zeros = ((x / (total + 1)).astype(np.float32) for x in (ones + 0.5, total - ones + 0.5))
-        out.append((of, np.where(bit, of_ones[of], of_zeros[of]), weight.astype(np.float32)))
-        deeper = (at, weighted, total)
-    return out[::-1], deeper
-
-
-def _mixed(codes, numbers, up, below=None, entering=None):
-    """The bits of each depth's entries, and for each bit k what the last depth passes on: (mixed, left) of its entries.
-
-    entering[k] has what the depth before the first passes to the first one's entries.
-    """
-    bits, passed = [np.zeros(len(c), np.float32) for c in codes], []
-    for k in range(8):
-        nodes, _ = _nodes(codes, numbers, up, k, below and below[k])
-        mixed, left = entering[k] if entering else (np.zeros(len(codes[0]), np.float32), np.ones(len(codes[0]), np.float32))
-        for d in range(len(codes)):
-            of, estimate, weight = nodes[d]
-            nodes[d] = None
-            if d:
-                mixed, left = mixed[up[d]], left[up[d]]
-            bits[d] += np.log2(mixed + left * estimate)
-            w = weight[of]
-            mixed, left = mixed + left * w * estimate, left * (1 - w)
-        passed.append((mixed, left))
-    return bits, passed
-
-
-def _unseen(codes, bits, higher) -> tuple[np.ndarray, np.ndarray]:
-    """By context: the bits that a byte never seen there costs on top of its bits one depth higher."""
-    if not len(codes):
-        return codes, bits
-    at = _starts(codes >> 8)
-    n = np.diff(np.r_[at, len(codes)])
-    left = np.maximum(1 - np.add.reduceat(np.exp2(bits), at, dtype=float), 1e-9)
-    of = 256 - n if higher is None else np.maximum(1 - np.add.reduceat(np.exp2(higher), at, dtype=float), 1e-9)
-    return codes[at] >> 8, np.log2(left / np.maximum(of, 1e-12))
-
-
-class Model:
-    """Scores in bits from counts: counts[d] has sorted codes of d context bytes and a byte, and their numbers.
-
-    With below, the model is the top of a larger one whose deeper contexts lie in Blocks: see Block.sums.
-    """
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], below=None):
-        self.depth = len(counts) - 1
-        codes = [c for c, _ in counts]
-        numbers = [n.astype(float) for _, n in counts]
-        up = [None] + [np.searchsorted(codes[d - 1], low(codes[d], d - 1)).astype(np.int32) for d in range(1, self.depth + 1)]
-        bits, passed = _mixed(codes, numbers, up, below)
-        self.last = codes[-1], bits[-1], passed
-        self.seen = [Table(c, b) for c, b in zip(codes, bits, strict=True)]
-        self.rest = [Table(*_unseen(codes[d], bits[d], bits[d - 1][up[d]] if d else None)) for d in range(self.depth + 1)]
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        """The log2 probability of each code's byte after its context."""
-        out = np.zeros(len(codes))
-        rest = np.arange(len(codes))
-        for d in range(self.depth, -1, -1):
-            key = low(codes[rest], d)
-            found, known = self.seen[d].get(key)
-            out[rest] += found
-            rest, key = rest[~known], key[~known]
-            if not len(rest):
-                return out
-            more, there = self.rest[d].get(key >> 8)
-            out[rest] += np.where(there, more, -8.0 if d == 0 else 0.0)
-        return out
-
-
-class Block:
-    """The depths from SPLIT on, over all codes (sorted, of full depth) of some contexts of SPLIT bytes; numbers of 0 are of codes not learned."""
+class Tree:
+    """The depths from first to last of the tree: sorted codes of last bytes of context, and how often each was learned (0: only scored)."""
 
-    def __init__(self, codes: np.ndarray, numbers: np.ndarray, depth: int = DEPTH):
-        kept = numbers > 0
-        self.codes, self.numbers, self.up = [codes[kept]], [numbers[kept].astype(float)], []
-        for d in range(depth - 1, SPLIT - 1, -1):
+    def __init__(self, codes: np.ndarray, numbers: np.ndarray, first: int = 0, last: int = DEPTH):
+        self.first, self.codes, self.numbers, self.up = first, [codes], [numbers.astype(float)], [None]
+        for d in range(last - 1, first - 1, -1):
             shorter, up = np.unique(low(self.codes[0], d), return_inverse=True)
             self.numbers.insert(0, np.bincount(up, self.numbers[0], len(shorter)))
             self.codes.insert(0, shorter)
-            self.up.insert(0, up)
-        self.up.insert(0, None)
+            self.up.insert(1, up.astype(np.int32))
+
+    def _nodes(self, k: int, below=None):
+        """For each depth: each code's node, the estimate of its bit k there, and the nodes' weights of stopping; and (first code, logs) of the first depth's nodes.
+
+        below, if given, has the logs one depth under the last: (node of the last depth, logs), summed by node.
+        """
+        out, deeper = [], None
+        for d in reversed(range(len(self.codes))):
+            codes, numbers = self.codes[d], self.numbers[d]
+            at = _starts(codes >> (8 - k))
+            of = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(codes)]))
+            bit = ((codes >> (7 - k)) & 1).astype(bool)
+            total = np.add.reduceat(numbers, at)
+            ones = np.add.reduceat(np.where(bit, numbers, 0), at)
+            own = log_kt(total - ones, ones)
+            if deeper is not None:
+                parent, logs = of[self.up[d + 1][deeper[0]]], deeper[1]
+            elif below is not None:
+                parent, logs = np.searchsorted(codes[at] >> (8 - k), below[0]), below[1]
+            else:
+                parent = None
+            if parent is None:
+                weighted, weight = own, np.ones(len(at))
+            else:
+                weighted = np.logaddexp(own, np.bincount(parent, logs, len(at))) + np.log(0.5)
+                weight = np.exp(np.minimum(0, own + np.log(0.5) - weighted))
+            out.append((of, np.where(bit, ((ones + 0.5) / (total + 1))[of], ((total - ones + 0.5) / (total + 1))[of]), weight))
+            deeper = (at, weighted)
+        return out[::-1], deeper
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(k, node, logs, total): of bit k, the nodes of depth SPLIT summed by the node above; k is 8 for numbers by code of depth SPLIT - 1."""
+        """(k, node, logs, total): of bit k, the first depth's nodes summed by the node above; k is 8 for numbers by code of the depth above."""
         out = []
-        first = low(self.codes[0], SPLIT - 1)
-        for k in range(8 if len(first) else 0):
-            at, logs, totals = _nodes(self.codes, self.numbers, self.up, k)[1]
-            node, of = np.unique(first[at] >> (8 - k), return_inverse=True)
-            out.append((np.full(len(node), k), node, np.bincount(of, logs, len(node)), np.bincount(of, totals, len(node))))
-        node, of = np.unique(first, return_inverse=True)
+        above = low(self.codes[0], self.first - 1)
+        for k in range(8 if len(above) else 0):
+            at, logs = self._nodes(k)[1]
+            node, of = np.unique(above[at] >> (8 - k), return_inverse=True)
+            out.append((np.full(len(node), k), node, np.bincount(of, logs, len(node)), np.zeros(len(node))))
+        node, of = np.unique(above, return_inverse=True)
         out.append((np.full(len(node), 8), node, np.zeros(len(node)), np.bincount(of, self.numbers[0], len(node))))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def log2(self, codes: np.ndarray, top: Model) -> np.ndarray:
-        """The log2 probability of each code's byte after its context; top holds the depths before SPLIT."""
-        above, above_bits, passed = top.last
-        up = np.searchsorted(above, low(self.codes[0], SPLIT - 1))
-        bits, _ = _mixed(self.codes, self.numbers, self.up, entering=[(m[up], left[up]) for m, left in passed])
-        out, rest = np.zeros(len(codes)), np.arange(len(codes))
-        for d in reversed(range(len(self.codes))):
-            key = low(codes[rest], SPLIT + d)
-            at, known = _find(self.codes[d], key)
-            out[rest[known]] += bits[d][at[known]]
-            rest, key = rest[~known], key[~known]
-            contexts, more = _unseen(self.codes[d], bits[d], bits[d - 1][self.up[d]] if d else above_bits[up])
-            at, there = _find(contexts, key >> 8)
-            out[rest[there]] += more[at[there]]
-        out[rest] += top.log2(codes[rest])
-        return out
-
-
-def top_model(k: np.ndarray, node: np.ndarray, logs: np.ndarray, total: np.ndarray) -> Model:
-    """The depths before SPLIT, from the sums of all Blocks added up by k and node."""
+    def mixed(self, entering=None, below=None) -> tuple[np.ndarray, list]:
+        """The log2 probability of each code's byte after its context, and for each bit k what the last depth passes on: (mixed, left) of its codes.
+
+        entering[k] has what the depth before the first passes to the first one's codes.
+        """
+        bits, passed = np.zeros(len(self.codes[-1])), []
+        for k in range(8 if len(bits) else 0):
+            nodes, _ = self._nodes(k, below and below[k])
+            mixed, left = entering[k] if entering else (np.zeros(len(self.codes[0])), np.ones(len(self.codes[0])))
+            for d, (of, estimate, weight) in enumerate(nodes):
+                if d:
+                    mixed, left = mixed[self.up[d]], left[self.up[d]]
+                if d == len(nodes) - 1:
+                    bits += np.log2(mixed + left * estimate)
+                w = weight[of]
+                mixed, left = mixed + left * w * estimate, left * (1 - w)
+            passed.append((mixed, left))
+        return bits, passed
+
+
+def top_passed(k: np.ndarray, node: np.ndarray, logs: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, list]:
+    """(codes, passed) of the depths before SPLIT, from the sums of all trees from SPLIT on, added up by k and node."""
     order = np.lexsort((node, k))
     k, node, logs, total = (x[order] for x in (k, node, logs, total))
-    counts = [(node[k == 8], total[k == 8])]
-    for d in range(SPLIT - 2, -1, -1):
-        shorter, of = np.unique(low(counts[0][0], d), return_inverse=True)
-        counts.insert(0, (shorter, np.bincount(of, counts[0][1], len(shorter))))
-    return Model(counts, [(node[k == b], logs[k == b], total[k == b]) for b in range(8)])
+    top = Tree(node[k == 8], total[k == 8], 0, SPLIT - 1)
+    return top.codes[-1], top.mixed(below=[(node[k == b], logs[k == b]) for b in range(8)])[1]
+
+
+def entering(top: tuple[np.ndarray, list], codes: np.ndarray) -> list:
+    """What the depths before SPLIT pass to codes of SPLIT bytes of context."""
+    known, passed = top
+    up = np.searchsorted(known, low(codes, SPLIT - 1))
+    return [(mixed[up], left[up]) for mixed, left in passed]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -13,18 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from halflife.llm.common import documents, small_batches, stored
-from halflife.llm.ctw import DEPTH, Block, Model, Table, pieces, top_model
+from halflife.llm.ctw import DEPTH, SPLIT, Table, Tree, entering, pieces, top_passed
 from halflife.llm.shingles import words
 
-#: Contexts of two bytes are dealt to so many groups, and each group's contexts are weighted together.
-GROUPS = 256
-#: Groups are weighted together until they have so many contexts with a byte; a larger group goes alone, whole.
+#: Contexts of two bytes are dealt to so many parts, each weighted whole; a part's codes are dealt to so many cells.
+PARTS = 512
+CELLS = 8
+#: Parts are weighted together until they have so many codes; a larger part goes alone, whole.
 TOGETHER = 500_000
-#: Contexts with a byte in one row of the table of all.
+#: Codes in one row of the table of all.
 ROW = 200_000
 #: Bytes of packed codes that a worker passes on at once.
 SENT = 4 << 20
-#: Frequent words are looked up on the workers: so many at most, of at most so many bytes. Others are joined.
+#: Frequent words are looked up on the workers: so many at most, by a digest beyond so many bytes. Others are joined.
 FREQUENT = 100_000
 LONGEST = 64
 #: Rows of a worker's counters before they are passed on.
@@ -99,156 +101,200 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("batch", LongType())]))
 
 
+def cell_of(codes: np.ndarray) -> np.ndarray:
+    """A part of the two nearest context bytes, times CELLS, plus a hash of the whole code."""
+    part = (((codes >> 8) & 0xFFFF) * 40_503 & 0xFFFF) * PARTS >> 16
+    return part * CELLS + ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).view(np.int64) % CELLS
+
+
+def _dealt(codes: np.ndarray, *numbers: np.ndarray):
+    """(cell, codes, numbers...) of each cell, codes sorted."""
+    cell = cell_of(codes)
+    order = np.argsort(cell, kind="stable")
+    cell, codes, *numbers = (x[order] for x in (cell, codes, *numbers))
+    for i, j in _runs(cell):
+        yield int(cell[i]), codes[i:j], *(x[i:j] for x in numbers)
+
+
 def batch_codes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(part, batch, codes, n): each batch's codes by group, once each, and how often its rows to learn have them (0 where only others do)."""
+    """(cell, batch, codes, n): each batch's codes by cell, once each, and how often its rows to learn have them (0 where only others do)."""
     def run(batches):
         for b in batches:
             number = b.column("batch").to_numpy()
             for lo, hi in _runs(number):
-                held = []
+                held, size = [], 0
                 texts, learn = b.column("text").slice(lo, hi - lo), b.column("learn").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 for wanted in (True, False):
                     picked = texts.filter(pa.array(learn == wanted))
                     for codes, _ in pieces(((t.as_py() or "").encode().lower() for t in picked), depth):
                         codes, n = np.unique(codes, return_counts=True)
                         held.append((codes, n if wanted else np.zeros_like(n)))
-                codes, n = _merged(held)
-                part = ((((codes >> 8) & 0xFFFF) * 40_503 & 0xFFFF) * GROUPS >> 16).astype(np.int16)
-                order = np.argsort(part, kind="stable")
-                part, codes, n = part[order], codes[order], n[order]
-                cuts = list(_runs(part))
+                        size += len(codes)
+                        if size > TOGETHER + 2 * len(held[0][0]):
+                            held = [_merged(held)]
+                            size = len(held[0][0])
+                ready = [(cell, _packed(np.diff(codes, prepend=0)), _packed(n)) for cell, codes, n in _dealt(*_merged(held))]
+                cell, codes, n = zip(*ready, strict=True)
                 yield _rows([
-                    ("part", pa.array([int(part[i]) for i, _ in cuts], pa.int32())), ("batch", pa.array(np.full(len(cuts), number[lo]), pa.int64())),
-                    ("codes", pa.array([_packed(np.diff(codes[i:j], prepend=0)) for i, j in cuts], pa.binary())), ("n", pa.array([_packed(n[i:j]) for i, j in cuts], pa.binary())),
+                    ("cell", pa.array(cell, pa.int32())), ("batch", pa.array(np.full(len(cell), number[lo]), pa.int64())),
+                    ("codes", pa.array(codes, pa.binary())), ("n", pa.array(n, pa.binary())),
                 ])
 
-    return rows.select("batch", "learn", "text").mapInArrow(run, "part int, batch long, codes binary, n binary")
+    return rows.select("batch", "learn", "text").mapInArrow(run, "cell int, batch long, codes binary, n binary")
 
 
-def _by_part(batches):
-    """(part, the rows' columns but part, one by one) in the order of the rows."""
+def _by(batches, key: str):
+    """(key, the row's other columns), row by row."""
     for b in batches:
-        names = [n for n in b.schema.names if n != "part"]
-        for part, *x in zip(b.column("part").to_pylist(), *(b.column(n) for n in names), strict=True):
-            yield part, dict(zip(names, x, strict=True))
+        names = [n for n in b.schema.names if n != key]
+        for number, *x in zip(b.column(key).to_pylist(), *(b.column(n) for n in names), strict=True):
+            yield number, dict(zip(names, x, strict=True))
+
 
+class _Sender:
+    """Collects rows of (cell or batch, packed codes, packed numbers) until they have SENT bytes."""
 
-def context_table(pairs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> DataFrame:
-    """(part, codes, n): every code of batch_codes() with its number, whole; and rows (k, node, logs, total) of Block.sums, with part null."""
-    empty = {"part": pa.int32(), "codes": pa.binary(), "n": pa.binary(), "k": pa.int32(), "node": pa.int64(), "logs": pa.float64(), "total": pa.float64()}
+    def __init__(self, **kinds):
+        self.kinds, self.rows, self.size = kinds, [], 0
 
-    def out(size, **given):
-        return _rows([(c, pa.array(given[c], kind) if c in given else pa.nulls(size, kind)) for c, kind in empty.items()])
+    def add(self, *row):
+        self.rows.append(row)
+        self.size += len(row[1]) + len(row[2])
+        return [self.take()] if self.size > SENT else []
 
+    def take(self):
+        columns = zip(*self.rows, strict=True)
+        out = _rows([(c, pa.array(x, kind)) for (c, kind), x in zip(self.kinds.items(), columns, strict=True)])
+        self.rows, self.size = [], 0
+        return out
+
+    def rest(self):
+        return [self.take()] if self.rows else []
+
+
+def context_table(pairs: DataFrame, tasks: int) -> DataFrame:
+    """(cell, codes, n): every code of batch_codes() with its number, whole, in rows of ROW codes at most."""
     def run(batches):
-        now, held, size, together, gathered, ready = None, [], 0, [], 0, []
-
-        def table():
-            nonlocal ready
-            for at in range(0, len(held[0][0]), ROW):
-                codes, n = (x[at : at + ROW] for x in held[0])
-                ready.append((now, _packed(np.diff(codes, prepend=0)), _packed(n)))
-                if sum(len(x[1]) for x in ready) > SENT:
-                    yield passed_on()
-
-        def passed_on():
-            nonlocal ready
-            (part, codes, n), ready = zip(*ready, strict=True), []
-            return out(len(part), part=part, codes=codes, n=n)
-
-        def sums():
-            k, node, logs, total = Block(*_merged(together), depth).sums()
-            return out(len(k), k=k.astype(np.int32), node=node, logs=logs, total=total)
-
-        for part, row in _by_part(batches):
-            if part != now and held:
-                held = [_merged(held)]
-                yield from table()
-                together.append(held[0])
-                gathered += len(held[0][0])
+        now, held, size, sender = None, [], 0, _Sender(cell=pa.int32(), codes=pa.binary(), n=pa.binary())
+
+        def full():
+            codes, n = _merged(held)
+            for at in range(0, len(codes), ROW):
+                yield from sender.add(now, _packed(np.diff(codes[at : at + ROW], prepend=0)), _packed(n[at : at + ROW]))
+
+        for cell, row in _by(batches, "cell"):
+            if cell != now and held:
+                yield from full()
                 held, size = [], 0
-                if gathered >= most:
-                    yield sums()
-                    together, gathered = [], 0
-            now = part
+            now = cell
             held.append((_codes(row["codes"].as_py()), _unpacked(row["n"].as_py())))
             size += len(held[-1][0])
-            if size > 4 * TOGETHER + 2 * len(held[0][0]):
+            if size > TOGETHER + 2 * len(held[0][0]):
                 held = [_merged(held)]
                 size = len(held[0][0])
         if held:
-            held = [_merged(held)]
-            yield from table()
-            together.append(held[0])
-        if ready:
-            yield passed_on()
-        if together:
-            yield sums()
+            yield from full()
+        yield from sender.rest()
 
-    dealt = pairs.select("part", "codes", "n").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "part int, codes binary, n binary, k int, node long, logs double, total double")
+    dealt = pairs.select("cell", "codes", "n").repartition(tasks, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "cell int, codes binary, n binary")
 
 
-def train_top(table: DataFrame) -> Model:
-    """The model's depths before SPLIT. At most 8 x 65,536 sums and 65,536 numbers reach the driver, whatever the corpus."""
-    got = table.where("part is null").groupBy("k", "node").agg(F.sum("logs").alias("logs"), F.sum("total").alias("total")).toArrow()
-    return top_model(*(got.column(c).to_numpy() for c in ("k", "node", "logs", "total")))
+def _whole_parts(table: DataFrame) -> DataFrame:
+    """The rows of context_table with a column part, each part in one task. They have each code once, however often it occurs."""
+    part = F.floor(F.col("cell") / CELLS).cast("int")
+    return table.select(part.alias("part"), "codes", "n").repartition("part").sortWithinPartitions("part")
 
 
-def code_bits(pairs: DataFrame, table: DataFrame, top: Model, depth: int = DEPTH) -> DataFrame:
-    """(batch, codes, bits): for each batch its codes' log2 probabilities (floats), a group in a row."""
-    shared = pairs.sparkSession.sparkContext.broadcast(top)
+def _trees(batches, depth: int, most: int):
+    """Trees of whole parts, of most codes or so; a larger part alone."""
+    now, held, size = None, [], 0
+    for part, row in _by(batches, "part"):
+        if part != now and size >= most:
+            yield Tree(*_merged(held), SPLIT, depth)
+            held, size = [], 0
+        now = part
+        held.append((_codes(row["codes"].as_py()), _unpacked(row["n"].as_py())))
+        size += len(held[-1][0])
+    if held:
+        yield Tree(*_merged(held), SPLIT, depth)
+
+
+def train_top(table: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> tuple[np.ndarray, list]:
+    """The depths before SPLIT, as top_passed() gives them. At most 8 x 65,536 sums and 65,536 numbers reach the driver, whatever the corpus."""
+    def run(batches):
+        for tree in _trees(batches, depth, most):
+            k, node, logs, total = tree.sums()
+            yield _rows([("k", pa.array(k, pa.int32())), ("node", pa.array(node)), ("logs", pa.array(logs)), ("total", pa.array(total))])
+
+    sums = _whole_parts(table).mapInArrow(run, "k int, node long, logs double, total double")
+    got = sums.groupBy("k", "node").agg(F.sum("logs").alias("logs"), F.sum("total").alias("total")).toArrow()
+    return top_passed(*(got.column(c).to_numpy() for c in ("k", "node", "logs", "total")))
+
+
+def weighted_codes(table: DataFrame, top, depth: int = DEPTH, most: int = TOGETHER) -> DataFrame:
+    """(cell, codes, bits): the log2 probability (float) of each code's byte after its context."""
+    shared = table.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
-        now, held, codes, bits, ready, size = None, [], None, None, [], 0
-        for part, row in _by_part(batches):
-            if part != now:
-                now, held, codes = part, [], None
+        sender = _Sender(cell=pa.int32(), codes=pa.binary(), bits=pa.binary())
+        for tree in _trees(batches, depth, most):
+            bits, _ = tree.mixed(entering(shared.value, tree.codes[0]))
+            for cell, codes, mine in _dealt(tree.codes[-1], bits.astype(np.float32)):
+                yield from sender.add(cell, _packed(np.diff(codes, prepend=0)), mine.tobytes())
+        yield from sender.rest()
+
+    return _whole_parts(table).mapInArrow(run, "cell int, codes binary, bits binary")
+
+
+def code_bits(pairs: DataFrame, weighted: DataFrame, tasks: int) -> DataFrame:
+    """(batch, codes, bits): for each batch its codes' log2 probabilities, a cell in a row."""
+    def run(batches):
+        now, held, sender = None, [], _Sender(batch=pa.int64(), codes=pa.binary(), bits=pa.binary())
+        for cell, row in _by(batches, "cell"):
+            if cell != now:
+                now, held, codes = cell, [], None
             if row["batch"].as_py() is None:
-                held.append((_codes(row["codes"].as_py()), _unpacked(row["n"].as_py())))
+                held.append((_codes(row["codes"].as_py()), np.frombuffer(row["bits"].as_py(), np.float32)))
                 continue
-            if codes is None:
-                codes, n = _merged(held)
-                bits, held = Block(codes, n, depth).log2(codes, shared.value).astype(np.float32), []
+            if codes is None:  # a cell has one row of the table
+                (codes, bits), held = held[0], []
             packed = row["codes"].as_py()
-            ready.append((row["batch"].as_py(), packed, bits[np.searchsorted(codes, _codes(packed))].tobytes()))
-            size += len(packed)
-            if size > SENT:
-                yield out(ready)
-                ready, size = [], 0
-        if ready:
-            yield out(ready)
-
-    def out(ready):
-        return _rows([(c, pa.array(x, kind)) for c, kind, x in zip(("batch", "codes", "bits"), (pa.int64(), pa.binary(), pa.binary()), zip(*ready, strict=True), strict=True)])
+            yield from sender.add(row["batch"].as_py(), packed, bits[np.searchsorted(codes, _codes(packed))].tobytes())
+        yield from sender.rest()
 
-    rows = table.where("part is not null").select("part", F.lit(None).cast("long").alias("batch"), "codes", "n")
-    rows = rows.unionAll(pairs.select("part", "batch", "codes", F.lit(None).cast("binary").alias("n")))
-    return rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("batch")).mapInArrow(run, "batch long, codes binary, bits binary")
+    rows = weighted.select("cell", F.lit(None).cast("long").alias("batch"), "codes", "bits")
+    rows = rows.unionAll(pairs.select("cell", "batch", "codes", F.lit(None).cast("binary").alias("bits")))
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell", F.asc_nulls_first("batch")).mapInArrow(run, "batch long, codes binary, bits binary")
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     score is the log10 probability of the text, A-Z lower-cased, with its end, under context-tree weighting
-    learned from the rows that with_fold() gives to training; base_score adds log10((c + 1) / (N + V + 1)) over
+    of depth bytes (2 at least) learned from the rows that with_fold() gives to training; base_score adds log10((c + 1) / (N + V + 1)) over
     the tokens, the end included. Null texts are empty: one token, the end. With no training rows counts are 0
     and every byte costs eight bits. Repeated rows count and are scored each; rows without doc_id are scored only.
-    The model keeps every context. Groups of contexts are weighted apart, and the log2 probabilities of a batch's
-    codes come back to it by a shuffle; most bounds how many small groups are weighted at a time, and no result.
+    The model keeps every context. Parts of the contexts are weighted apart, and the log2 probabilities of a batch's
+    codes come back to it by a shuffle; most bounds how many small parts are weighted at a time, and no result.
     """
+    if depth < SPLIT:
+        raise ValueError(f"depth is {SPLIT} at least")
     small_batches(docs.sparkSession)
-    docs = stored(numbered(with_fold(docs)), "texts")
+    docs = stored(numbered(with_fold(docs)), "texts", "zstd")
+    # As many tasks as batches, so what a task reads does not grow with the corpus.
+    tasks = max(1, docs.select("batch").distinct().count())
     train = docs.where("learn")
     counts = stored(word_counts(train), "words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
+    short = F.when(F.length("word") <= LONGEST, F.col("word")).otherwise(F.concat(F.lit(b"\0"), F.unhex(F.sha2("word", 256))))
+    top = counts.orderBy(F.desc("n"), F.xxhash64("word")).limit(FREQUENT).select(short.alias("word"), "n").toArrow()
     frequent = {w: math.log10(c + 1) for w, c in zip(*(c.to_pylist() for c in top.columns), strict=True)}
     # Bounded: FREQUENT words of LONGEST bytes.
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    pairs = stored(batch_codes(docs, depth), "codes")
-    table = stored(context_table(pairs, depth, most), "contexts")
+    pairs = stored(batch_codes(docs, depth), "codes", "zstd")
+    table = stored(context_table(pairs, min(tasks, PARTS * CELLS)), "contexts", "zstd")
 
     def slices(batches):
         """(rows, table of bits) of at most 256 rows of one batch."""
@@ -281,7 +327,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> Da
                 tokens.append(sum(seen.values()))
                 hits, log, rest, rest_times = 0, 0.0, [], []
                 for w, k in seen.items():
-                    if (x := frequent.get(w)) is None:
+                    if (x := frequent.get(w if len(w) <= LONGEST else b"\0" + hashlib.sha256(w).digest())) is None:
                         rest.append(w)
                         rest_times.append(k)
                     else:
@@ -298,11 +344,11 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> Da
             ])
 
     kind = "doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, logs double, bits double, rare array<binary>, times array<long>"
-    scored = code_bits(pairs, table, train_top(table), depth)
+    scored = code_bits(pairs, weighted_codes(table, train_top(table, depth, most), depth, most), min(tasks, PARTS * CELLS))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
     rows = docs.select("batch", "doc_id", "held_out", "text", none("codes", "binary"), none("bits", "binary"))
     rows = rows.unionAll(scored.select("batch", none("doc_id", "long"), none("held_out", "boolean"), none("text", "string"), "codes", "bits"))
-    rows = rows.repartition("batch").sortWithinPartitions("batch", F.col("codes").isNull()).mapInArrow(run, kind)
+    rows = rows.repartition(2 * tasks, "batch").sortWithinPartitions("batch", F.col("codes").isNull()).mapInArrow(run, kind)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # stored, so the numbers stay
     each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     added = each.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"))

@@ -413,27 +413,78 @@ def test_quality_is_learned(spark, sf):
 
 # LM scoring ------------------------------------------------------------------------------------------------
 
-def test_ctw_adds_up_and_fits():
-    text = (b"the cat sat on the mat. the dog sat on the log. " * 40, b"a cat and a dog " * 30)
-
-    def counts(depth):
-        codes = np.concatenate([c for c, _ in ctw.pieces(text, depth)])
-        return [np.unique(codes & ((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(depth + 1)]
-
-    model = ctw.Model(counts(3))
-    for context in (0, 0x746865, 0x616161, 0xFFFFFF):
-        assert np.exp2(model.log2(np.array([(context << 8) | b for b in range(256)], np.int64))).sum() == pytest.approx(1, abs=1e-5)
-    bits = lambda m, d: -sum(m.log2(c).sum() for c, _ in ctw.pieces([b"the cat sat on the dog. "], d))
-    assert bits(model, 3) < bits(ctw.Model(counts(0)), 0) / 2
-    one = ctw.Model(counts(0))
-    # Depth 0 is the Krichevsky-Trofimov estimate of each bit alone.
-    seen = np.frombuffer(b"".join(t + ctw.END for t in text), np.uint8)
-    want = 0.0
-    for k in range(8):
-        node = seen[(seen >> (8 - k)) == (ord("t") >> (8 - k))] if k else seen
-        ones, bit = int(((node >> (7 - k)) & 1).sum()), (ord("t") >> (7 - k)) & 1
-        want += math.log2(((ones if bit else len(node) - ones) + 0.5) / (len(node) + 1))
-    assert one.log2(np.array([ord("t")]))[0] == pytest.approx(want, abs=1e-4)
+class PlainCtw:
+    """Context-tree weighting written out node by node: a node is (context bytes, nearest first, and the byte's bits so far)."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children, self.known = depth, collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set), {}
+        for t in texts:
+            for context, byte in self.steps(t):
+                for d in range(depth + 1):
+                    for bits, bit in self.decisions(byte):
+                        self.counts[context[:d], bits][bit] += 1
+                        if d < depth:
+                            self.children[context[:d], bits].add(context[: d + 1])
+
+    def steps(self, text):
+        whole = b"\0" * self.depth + text + b"\xff"
+        return [(whole[i - self.depth : i][::-1], whole[i]) for i in range(self.depth, len(whole))]
+
+    @staticmethod
+    def decisions(byte):
+        return [(f"{byte:08b}"[:k], int(f"{byte:08b}"[k])) for k in range(8)]
+
+    def logs(self, context, bits):
+        """(the node's own estimate, the product of its children, the weighted one)."""
+        if (context, bits) not in self.known:
+            zeros, ones = self.counts.get((context, bits), (0, 0))
+            own = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+            below = sum(self.logs(c, bits)[2] for c in self.children.get((context, bits), ()))
+            both = max(own, below) + math.log1p(math.exp(-abs(own - below))) + math.log(0.5)
+            self.known[context, bits] = own, below, own if len(context) == self.depth else both
+        return self.known[context, bits]
+
+    def bits(self, text):
+        out = 0.0
+        for context, byte in self.steps(text):
+            for bits, bit in self.decisions(byte):
+                p, left = 0.0, 1.0
+                for d in range(self.depth + 1):
+                    n = self.counts.get((context[:d], bits), (0, 0))
+                    own, _, both = self.logs(context[:d], bits)
+                    stop = 1.0 if d == self.depth else math.exp(own + math.log(0.5) - both)
+                    p += left * stop * (n[bit] + 0.5) / (sum(n) + 1)
+                    left *= 1 - stop
+                out -= math.log2(p)
+        return out
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_ctw_is_context_tree_weighting(spark, sf, docs_of, depth):
+    """Bits a byte of training and held-out texts, bytes never seen after their context included."""
+    made = [(r["doc_id"], (r["text"] or "")[:600]) for r in table(spark, sf).orderBy("doc_id").limit(70).collect()]
+    made += [(1_000, "Zq\U0001f600 ~|~"), (1_001, ""), (1_002, None), (1_003, "\u65e5\u672c " * 9)]
+    rows = lmscore.score_texts(docs_of(made), depth, most=300).collect()
+    low = lambda t: (t or "").translate(UP).encode()
+    texts = dict(made)
+    plain = PlainCtw([low(texts[r["doc_id"]]) for r in rows if not r["held_out"]], depth)
+    assert {r["held_out"] for r in rows} == {True, False} and len(rows) == len(made)
+    for r in rows:
+        n = len(low(texts[r["doc_id"]])) + 1
+        assert -r["score"] / math.log10(2) / n == pytest.approx(plain.bits(low(texts[r["doc_id"]])) / n, abs=1e-6)
+
+
+def test_ctw_adds_up_and_fits(spark, docs_of):
+    learned = np.concatenate([c for c, _ in ctw.pieces((b"the cat sat on the mat. the dog sat on the log. " * 40, b"a cat and a dog " * 30), 3)])
+    every = np.array([(c << 8) | b for c in (0, 0x746865, 0x616161, 0xFFFFFF) for b in range(256)], np.int64)
+    codes, of = np.unique(np.r_[learned, every], return_inverse=True)
+    numbers = np.bincount(of[: len(learned)], minlength=len(codes))
+    bits, _ = ctw.Tree(codes, numbers, 0, 3).mixed()
+    assert np.exp2(bits[of[len(learned) :]]).reshape(4, 256).sum(axis=1) == pytest.approx([1, 1, 1, 1], abs=1e-9)
+    # Whole, and with the depths from SPLIT on apart.
+    below = ctw.Tree(codes, numbers, ctw.SPLIT, 3)
+    apart, _ = below.mixed(ctw.entering(ctw.top_passed(*below.sums()), below.codes[0]))
+    assert apart == pytest.approx(bits, abs=1e-9)
 
 
 def test_pieces(monkeypatch):
