@@ -69,6 +69,7 @@ def durability_table(spark, grid, p: float) -> DataFrame:
 def durability_report(nodes: DataFrame, k: int, m: int, p: float) -> DataFrame:
     """One row from (node_id, healthy): counts, expected loss and a status that tells whether parity still covers the failures."""
     failed = F.count_if(~F.col("healthy"))
+    # The three statuses.
     status = F.when(failed == 0, "OK").when(failed <= m, "DEGRADED (repairing)").otherwise("CRITICAL — DATA LOSS RISK")
     return nodes.agg(F.count("*").alias("n_nodes"), F.count_if("healthy").alias("n_healthy"), failed.alias("n_failed"), status.alias("status")).select(
         "*", F.lit(durability_loss(k, m, p)).alias("p_loss_per_year"), F.lit(durability_nines(k, m, p)).alias("effective_nines"))
@@ -91,8 +92,8 @@ def tenant_quota(collections: DataFrame, tenants: DataFrame) -> DataFrame:
 
 
 def heartbeat_gaps(beats: DataFrame, limit_ms: int) -> DataFrame:
-    """(node_id, failed_at, recovered_at, gap_ms): gaps between a node's beats (node_id, at) that exceed the limit."""
-    order = Window.partitionBy("node_id").orderBy("at", "event_id")
+    """(node_id, failed_at, recovered_at, gap_ms): gaps between a node's beats (node_id, at) that exceed the limit. Beats of one time have no gap."""
+    order = Window.partitionBy("node_id").orderBy("at")
     gaps = beats.withColumn("before", F.lag("at").over(order)).withColumn("gap_ms", F.col("at") - F.col("before"))
     return gaps.where(F.col("gap_ms") > limit_ms).select("node_id", (F.col("before") + limit_ms).alias("failed_at"), F.col("at").alias("recovered_at"), "gap_ms")
 

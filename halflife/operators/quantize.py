@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from halflife.functions import temporal as t
 from halflife.functions import vector as v
-from halflife.operators.search import live, ranked
+from halflife.functions.codec import payload_filter
+from halflife.operators.search import at_least_kth, live, matrix_of, over_queries, ranked, similarities, top_per_query
 from halflife.schema import EngineError, SearchOptions, TemporalConfig
 
 #: Codebooks are fitted on so many rows at most, those with the smallest hashes; every row gets a code.
@@ -110,23 +111,58 @@ def adc(code: Column | str, book: Codebook, query: Sequence[float]) -> Column:
     return out
 
 
-def adc_scores(coded: DataFrame, book: Codebook, query: Sequence[float], at: int, config: TemporalConfig, blend: float | None = None) -> DataFrame:
-    share = config.blend if blend is None else blend
-    rows = live(coded, at).withColumn("temporal_score", t.temporal_weight("created_at", at, config.half_life_ms))
+def adc_scores(coded: DataFrame, book: Codebook, query: Sequence[float], at: int, config: TemporalConfig, options: SearchOptions = SearchOptions()) -> DataFrame:
+    share = config.blend if options.blend is None else options.blend
+    rows = live(coded, at)
+    if "=" in options.filter:
+        rows = rows.where(payload_filter(options.filter))
+    rows = rows.withColumn("temporal_score", t.temporal_weight("created_at", at, config.half_life_ms)).where(t.passes_cutoff(F.col("temporal_score"), config.cutoff))
     rows = rows.withColumn("vector_score", v.adc_similarity(adc("code", book, query)))
     return rows.withColumn("score", t.blend(F.col("vector_score"), F.col("temporal_score"), share))
 
 
+def pq_pool(coded: DataFrame, book: Codebook, query: Sequence[float], at: int, config: TemporalConfig, options: SearchOptions = SearchOptions(), factor: int = 4) -> DataFrame:
+    """The factor * k best rows by codes."""
+    return adc_scores(coded, book, query, at, config, options).orderBy(F.desc("score"), "id").limit(factor * options.top_k)
+
+
 def pq_search(coded: DataFrame, book: Codebook, query: Sequence[float], at: int, config: TemporalConfig, options: SearchOptions = SearchOptions()) -> DataFrame:
     """The k best rows by codes alone; approximate is true for each."""
-    best = ranked(adc_scores(coded, book, query, at, config, options.blend), options.top_k)
+    best = ranked(adc_scores(coded, book, query, at, config, options), options.top_k)
     return best.select("rank", "id", "score", "vector_score", "temporal_score", F.lit(True).alias("approximate"))
 
 
 def pq_rescored(coded: DataFrame, book: Codebook, query: Sequence[float], at: int, config: TemporalConfig, options: SearchOptions = SearchOptions(), factor: int = 4) -> DataFrame:
     """The factor * k best by codes, scored again with their vectors and sorted again."""
-    pool = adc_scores(coded, book, query, at, config, options.blend).orderBy(F.desc("score"), "id").limit(factor * options.top_k)
+    pool = pq_pool(coded, book, query, at, config, options, factor)
     share = config.blend if options.blend is None else options.blend
     exact = pool.withColumn("vector_score", v.similarity("embedding", query, options.metric or "cosine", options.score_space))
     exact = exact.withColumn("score", t.blend(F.col("vector_score"), F.col("temporal_score"), share))
     return ranked(exact, options.top_k).select("rank", "id", "score", "vector_score", "temporal_score", F.lit(False).alias("approximate"))
+
+
+def batch_pq_search(coded: DataFrame, book: Codebook, queries: DataFrame, at: int, config: TemporalConfig, options: SearchOptions = SearchOptions(), factor: int = 0) -> DataFrame:
+    """pq_search, or with a factor pq_rescored, for many queries (query_id, embedding): (query_id, rank, id, score, vector_score, temporal_score, approximate)."""
+    share = config.blend if options.blend is None else options.blend
+    rows = live(coded, at)
+    if "=" in options.filter:
+        rows = rows.where(payload_filter(options.filter))
+    rows = rows.select("id", "embedding", "code", t.temporal_weight("created_at", at, config.half_life_ms).alias("w")).where(t.passes_cutoff(F.col("w"), config.cutoff))
+    pool = max(1, factor) * options.top_k
+    names = ["query_id", "id", "by_code", "near", "score", "vector_score", "temporal_score"]
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {coded.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names[2:])
+
+    def best(ids, q, b):
+        codes = matrix_of(b.column("code"), book.subspaces).astype(np.int64)
+        d = np.stack([book.table(x)[np.arange(book.subspaces), codes].sum(axis=1) for x in q])
+        near, w = 1 / (1 + d), b.column("w").to_numpy()
+        by_code = (1 - share) * near + share * w[None]
+        row, col = at_least_kth(by_code, pool)
+        sim = similarities(q, matrix_of(b.column("embedding"), q.shape[1]), options.metric or "cosine", options.score_space)
+        score = (1 - share) * sim + share * w[None]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), b.column("id").take(pa.array(col)), *(pa.array(a[row, col]) for a in (by_code, near, score, sim)), pa.array(w[col])], names)
+
+    found = top_per_query(over_queries(rows, queries, best, schema), pool, "by_code").drop("rank")
+    if factor:
+        return top_per_query(found, options.top_k).select("query_id", "rank", "id", "score", "vector_score", "temporal_score", F.lit(False).alias("approximate"))
+    return top_per_query(found, options.top_k, "by_code").select("query_id", "rank", "id", F.col("by_code").alias("score"), F.col("near").alias("vector_score"), "temporal_score", F.lit(True).alias("approximate"))

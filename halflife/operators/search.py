@@ -15,8 +15,9 @@ from halflife.functions import vector as v
 from halflife.functions.codec import payload_filter
 from halflife.schema import DAY_MS, EngineError, SearchOptions, TemporalConfig
 
-#: A query batch of up to so many numbers is broadcast (64 MB); larger ones are scored in slices of that size.
+#: A query set of up to so many numbers is broadcast (64 MB); larger ones are dealt in blocks of that size, against blocks of so many rows.
 BROADCAST_FLOATS = 8_000_000
+BLOCK_ROWS = 500_000
 
 
 def live(vectors: DataFrame, at: int) -> DataFrame:
@@ -69,12 +70,70 @@ def top_per_query(rows: DataFrame, k: int, by: str = "score", key: str = "id") -
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def batch_similarities(vectors: DataFrame, queries: DataFrame, k: int, at: int, config: TemporalConfig, options: SearchOptions = SearchOptions(), metric: str = "cosine") -> DataFrame:
+def over_queries(rows: DataFrame, queries: DataFrame, best, schema: str, lists: bool = False) -> DataFrame:
+    """best(ids, matrix, batch) of every Arrow batch of rows with the queries (query_id, embedding), as one table.
+
+    A query set of up to BROADCAST_FLOATS numbers travels to all batches. A larger one never meets the driver: queries and
+    rows are dealt to blocks, each pair of blocks meets in one group, and a group holds its queries and streams its rows.
+    With lists, queries have an array `lists` and meet only the rows whose column `cluster` is in it.
+    """
+    spark = rows.sparkSession
+    names = [c for c in rows.columns if c != "cluster"]
+    wanted = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"), *(["lists"] if lists else []))
+    size = wanted.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("dim")).first()
+    floats = (size["n"] or 0) * (size["dim"] or 0)
+    if floats <= BROADCAST_FLOATS and not lists:
+        table = wanted.toArrow()  # bounded: BROADCAST_FLOATS
+        ids, matrix = table.column("query_id").combine_chunks(), np.array(table.column("q").to_pylist(), float)
+        shared = spark.sparkContext.broadcast((ids, matrix))
+
+        def run(batches):
+            ids, matrix = shared.value
+            for b in batches:
+                if len(b) and len(ids):
+                    yield best(ids, matrix, b)
+
+        return rows.select(names).mapInArrow(run, schema)
+    step = max(1, BROADCAST_FLOATS // max(1, size["dim"] or 1))
+    row_blocks, query_blocks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-(size["n"] or 0) // step))
+    cluster = F.col("cluster") if lists else F.lit(0)
+    many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select(cluster.alias("c"), F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("r"), many(query_blocks).alias("k"), F.lit(1).alias("side"),
+                        *names, F.lit(None).cast(wanted.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("array<double>").alias("q"))
+    asked = wanted.select("*", F.explode("lists").alias("c")) if lists else wanted.withColumn("c", F.lit(0))
+    asked = asked.select("c", many(row_blocks).alias("r"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("k"), F.lit(0).alias("side"),
+                         *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names], "query_id", "q")
+
+    def meet(batches):
+        now, ids, matrix, held = None, None, None, []
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("c", "r", "k", "side")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if now != tuple(key[lo, :3]):
+                    now, ids, matrix, held = tuple(key[lo, :3]), None, None, []
+                if key[lo, 3] == 0:
+                    held.append(part.select(["query_id", "q"]))
+                    continue
+                if ids is None and held:
+                    table = pa.Table.from_batches(held)
+                    ids, matrix, held = table.column("query_id").combine_chunks(), np.array(table.column("q").to_pylist(), float), []
+                if ids is not None:
+                    yield best(ids, matrix, part.select(names))
+
+    key = ["c", "r", "k"]
+    return asked.unionAll(dealt.select(asked.columns)).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(meet, schema)
+
+
+def batch_similarities(vectors: DataFrame, queries: DataFrame, k: int, at: int, config: TemporalConfig, options: SearchOptions = SearchOptions(), metric: str = "cosine", lists: bool = False) -> DataFrame:
     """(query_id, rank, id, score, vector_score, temporal_score): many queries against all live rows.
 
-    Each Arrow batch of vectors is one matrix product with all queries and keeps its k best of each query, so
+    Each Arrow batch of vectors is one matrix product with the queries and keeps its k best of each query, so
     what is shuffled is k rows a query and batch, whatever the table's size. queries has query_id and
-    embedding; more numbers than BROADCAST_FLOATS are served in several passes.
+    embedding, and its number is not bounded; see over_queries(), lists included.
     """
     metric = options.metric or metric
     share = config.blend if options.blend is None else options.blend
@@ -82,60 +141,56 @@ def batch_similarities(vectors: DataFrame, queries: DataFrame, k: int, at: int,
     if "=" in options.filter:
         rows = rows.where(payload_filter(options.filter))
     weight = t.temporal_weight("created_at", at, config.half_life_ms)
-    rows = rows.select("id", "embedding", weight.alias("w")).where(t.passes_cutoff(F.col("w"), config.cutoff))
-    kind = vectors.schema["id"].dataType
+    rows = rows.select("id", "embedding", weight.alias("w"), *(["cluster"] if lists else [])).where(t.passes_cutoff(F.col("w"), config.cutoff))
     names = ["query_id", "id", "score", "vector_score", "temporal_score"]
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind.simpleString()}, score double, vector_score double, temporal_score double"
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double, vector_score double, temporal_score double"
 
-    def unit(m):
-        n = np.sqrt((m * m).sum(axis=1))
-        return m, n
+    def best(ids, q, b):
+        sim = similarities(q, matrix_of(b.column("embedding"), q.shape[1]), metric, options.score_space)
+        w = b.column("w").to_numpy()
+        score = (1 - share) * sim + share * w[None]
+        row, col = at_least_kth(score, k)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), b.column("id").take(pa.array(col)), *(pa.array(a) for a in (score[row, col], sim[row, col], w[col]))], names)
 
-    def run_for(ids, matrix):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, *unit(matrix)))
+    return top_per_query(over_queries(rows, queries, best, schema, lists), k).select("query_id", "rank", *names[1:])
 
-        def run(batches):
-            ids, q, qn = shared.value
-            for b in batches:
-                e = b.column("embedding")
-                if not len(b):
-                    continue
-                x = e.flatten().to_numpy(zero_copy_only=False).astype(float)
-                if len(x) != len(b) * q.shape[1]:
-                    raise EngineError("a vector's dimension differs from the queries'")
-                x, xn = unit(x.reshape(len(b), -1))
-                products = q @ x.T
-                if metric == "dot":
-                    sim = products
-                elif metric == "l2":
-                    sim = 1 / (1 + np.sqrt(np.maximum(qn[:, None] ** 2 + xn[None] ** 2 - 2 * products, 0)))
-                else:
-                    norms = qn[:, None] * xn[None]
-                    c = np.where(norms < v.TINY, 0.0, products / np.maximum(norms, v.TINY))
-                    sim = c if options.score_space == "raw" else (c + 1) / 2
-                w = b.column("w").to_numpy()
-                score = (1 - share) * sim + share * w[None]
-                keys = b.column("id")
-                if score.shape[1] > k:  # all that tie with the k-th stay, so the tie-break by id is exact
-                    least = np.partition(score, -k, axis=1)[:, -k][:, None] if k else np.full((len(ids), 1), np.inf)
-                    row, col = np.nonzero(score >= least)
-                else:
-                    row, col = np.nonzero(np.ones_like(score, bool))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), keys.take(pa.array(col)), *(pa.array(a) for a in (score[row, col], sim[row, col], w[col]))], names)
-
-        return rows.mapInArrow(run, schema)
-
-    table = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
-    if not len(table):
-        return vectors.sparkSession.createDataFrame([], f"{schema}, rank int").select("query_id", "rank", *names[1:])
-    matrix = np.array(table.column("embedding").to_pylist(), float)
-    ids = table.column("query_id").combine_chunks()
-    step = max(1, BROADCAST_FLOATS // max(1, matrix.shape[1]))
-    found = None
-    for lo in range(0, len(matrix), step):
-        part = run_for(ids.slice(lo, step), matrix[lo : lo + step])
-        found = part if found is None else found.unionAll(part)
-    return top_per_query(found, k).select("query_id", "rank", *names[1:])
+
+def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
+    """(id, rank, neighbour, score): each row's k nearest other rows by raw cosine, exactly; rows meet in blocks."""
+    plain = vectors.select("id", "embedding", F.lit(0).cast("long").alias("created_at"), F.lit(None).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_until"))
+    options = SearchOptions(top_k=k + 1, blend=0.0, score_space="raw")
+    near = batch_similarities(plain, plain.select(F.col("id").alias("query_id"), "embedding"), k + 1, 0, TemporalConfig(), options)
+    others = near.where(F.col("query_id") != F.col("id")).drop("rank")
+    return top_per_query(others, k).select(F.col("query_id").alias("id"), "rank", F.col("id").alias("neighbour"), "score")
+
+
+def matrix_of(embedding: pa.Array, dim: int) -> np.ndarray:
+    x = embedding.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if len(x) != len(embedding) * dim:
+        raise EngineError("a vector's dimension differs from the queries'")
+    return x.reshape(len(embedding), -1)
+
+
+def similarities(q: np.ndarray, x: np.ndarray, metric: str, space: str = "unit") -> np.ndarray:
+    """The similarity of each query (rows) to each vector (columns)."""
+    qn, xn, products = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1)), q @ x.T
+    if metric == "dot":
+        return products
+    if metric in ("l2", "l2_squared"):
+        d = np.maximum(qn[:, None] ** 2 + xn[None] ** 2 - 2 * products, 0)
+        return 1 / (1 + (d if metric == "l2_squared" else np.sqrt(d)))
+    norms = qn[:, None] * xn[None]
+    c = np.where(norms < v.TINY, 0.0, products / np.maximum(norms, v.TINY))
+    return c if space == "raw" else (c + 1) / 2
+
+
+def at_least_kth(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest; all that tie with the k-th stay, so a tie-break by id is exact."""
+    if not k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if score.shape[1] > k:
+        return np.nonzero(score >= np.partition(score, -k, axis=1)[:, -k][:, None])
+    return np.nonzero(np.ones_like(score, bool))
 
 
 def batch_search(vectors: DataFrame, queries: DataFrame, at: int, config: TemporalConfig, options: SearchOptions = SearchOptions(), metric: str = "cosine") -> DataFrame:
@@ -179,7 +234,7 @@ def point(vectors: DataFrame, id_value) -> DataFrame:
 
 
 def choose_strategy(n_rows: int, recall: float = 1.0, dim: int = 768) -> str:
-    """exact unless a lower recall is accepted and the table is large: then inverted lists, and codes beyond memory."""
+    """exact unless a lower recall is accepted and the table is large: then inverted lists, and codes beyond a terabyte."""
     if recall >= 0.999 or n_rows < 1_000_000:
         return "exact"
     return "pq" if n_rows * dim * 4 > 1 << 40 else "ivf"

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halflife.functions import temporal as t
 from halflife.functions import vector as v
+from halflife.operators.quantize import k_means, sample_matrix
+from halflife.operators.search import matrix_of
 from halflife.schema import AgentConfig
+from halflife.sources.scratch import stored
+
+#: Rows of a block of near_pairs(), and clusters at most.
+BLOCK = 2_048
+CENTRES = 256
 
 
 def with_defaults(rows: DataFrame, now: Column | int) -> DataFrame:
@@ -63,35 +72,128 @@ def set_ttl(table: DataFrame, seconds: Column | int) -> DataFrame:
     return table.withColumn("valid_until", t.with_ttl("created_at", seconds))
 
 
-def near_pairs(vectors: DataFrame, threshold: float, buckets: int = 64) -> DataFrame:
-    """(a, b, score) of rows whose unit-space cosine reaches the threshold; a is the earlier row by (created_at, id).
-
-    Exact without meeting all pairs: on the unit sphere two such rows have distances from a fixed pivot that
-    differ by no more than their own distance sqrt(4 - 4 s). Rows are dealt to bands of that width and meet
-    within a band and with the next one, for several pivots' bands at once.
+def _unit(embedding: pa.Array, dim: int) -> np.ndarray:
+    x = matrix_of(embedding, dim)
+    n = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(n < v.TINY, 1.0, n)[:, None]
+
+
+def _clustered(vectors: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """vectors with cluster, the nearest of about n / BLOCK unit centres, and gap, the distance to it; and the centres."""
+    centres = np.zeros((1, 0))
+    if n > BLOCK:
+        x = sample_matrix(vectors)
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1)), v.TINY)[:, None]
+        centres = k_means(x, min(CENTRES, -(-n // BLOCK)), 10)
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # CENTRES rows at most
+
+    def run(e: pa.Array) -> pa.Array:
+        c, d = np.zeros(len(e), np.int32), np.zeros(len(e))
+        if len(e) and shared.value.shape[1]:
+            d = _distances(_unit(e, shared.value.shape[1]), shared.value)
+            c, d = d.argmin(axis=1).astype(np.int32), d.min(axis=1)
+        return pa.StructArray.from_arrays([pa.array(c), pa.array(d)], ["cluster", "gap"])
+
+    return vectors.withColumn("_at", F.arrow_udf(run, "struct<cluster: int, gap: double>")(F.col("embedding"))).select("*", "_at.*").drop("_at"), centres
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None], 0))
+
+
+def _near(vectors: DataFrame, threshold: float, probes: Column | None, schema: str, out) -> DataFrame:
+    """out(ids of the probes, ids of the earlier rows, scores) of every block of rows that meet; see near_pairs()."""
+    rows = vectors.select("id", "created_at", "embedding", (F.lit(True) if probes is None else probes).alias("probe"))
+    n = rows.count()
+    dealt, centres = _clustered(rows, n)
+    dealt = stored(dealt, "clustered")
+    sizes = {r["cluster"]: (r["n"], r["gap"]) for r in dealt.groupBy("cluster").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()}  # CENTRES rows
+    # Unit vectors of that similarity are no farther apart than this; the zero vector has similarity 0.5 to all.
+    reach = (4.0 * (1.0 - threshold)) ** 0.5 + 1e-9 if threshold > 0.5 else float("inf")
+    far = np.array([sizes.get(c, (0, -np.inf))[1] for c in range(len(centres))]) + reach
+    member_blocks = {c: -(-k // BLOCK) for c, (k, _) in sizes.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast((centres, far))
+
+    def visited(e: pa.Array) -> pa.Array:
+        centres, far = shared.value
+        if not centres.shape[1]:
+            return pa.array([[0]] * len(e), pa.list_(pa.int32()))
+        hit = _distances(_unit(e, centres.shape[1]), centres) <= far[None] if len(e) else []
+        return pa.array([np.flatnonzero(h).astype(np.int32) for h in hit], pa.list_(pa.int32()))
+
+    columns = ["id", "created_at", "embedding"]
+    probing = dealt.where("probe").select(*columns, F.explode(F.arrow_udf(visited, "array<int>")(F.col("embedding"))).alias("cluster"))
+    probe_blocks = {r["cluster"]: -(-r["n"] // BLOCK) for r in probing.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    count = lambda held: F.coalesce(F.get(F.array(*[F.lit(max(1, held.get(c, 1))) for c in range(len(centres))]), F.col("cluster")), F.lit(1))
+    own = lambda held: F.pmod(F.xxhash64("id"), count(held)).cast("int")
+    every = lambda held: F.explode(F.sequence(F.lit(0), count(held) - 1))
+    left = probing.select(*columns, "cluster", own(probe_blocks).alias("i"), every(member_blocks).alias("j"), F.lit(0).alias("side"))
+    right = dealt.select(*columns, "cluster", every(probe_blocks).alias("i"), own(member_blocks).alias("j"), F.lit(1).alias("side"))
+
+    def groups(batches):
+        held, now = [], None
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("cluster", "i", "j")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if held and now != tuple(key[lo]):
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                now = tuple(key[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches):
+        for g in groups(b for b in batches if len(b)):
+            side = g.column("side").to_numpy()
+            p, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(p) or not len(m):
+                continue
+            ids, made = g.column("id").to_pylist(), g.column("created_at").to_pylist()
+            order = sorted(range(len(ids)), key=lambda i: (made[i] is not None, made[i], ids[i]) if made[i] is not None else (False, 0, ids[i]))
+            rank, last = np.zeros(len(ids), np.int64), None
+            for n, i in enumerate(order):  # a row on both sides has one rank
+                same = last is not None and ids[i] == ids[last] and made[i] == made[last]
+                rank[i], last = rank[last] if same else n, i
+            e = g.column("embedding").chunk(0)
+            x = _unit(e, len(e.flatten()) // len(e))
+            score = (x[p] @ x[m].T + 1) / 2
+            score[rank[m][None] >= rank[p][:, None]] = -1
+            row, col = np.nonzero(score >= threshold)
+            if len(row):
+                yield out(g.column("id").chunk(0), p[row], m[col], score[row, col])
+
+    return left.unionAll(right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side").mapInArrow(run, schema)
+
+
+def near_pairs(vectors: DataFrame, threshold: float, probes: Column | None = None) -> DataFrame:
+    """(a, b, score) of rows whose unit-space cosine reaches the threshold; a is the earlier row by (created_at, id). With probes, b is one of the rows it marks.
+
+    Exact, by matrix products of blocks of BLOCK rows. Rows lie in the cluster of their nearest centre; a row meets the
+    blocks of every cluster that the triangle inequality does not rule out: those whose centre is no farther than the
+    cluster's own reach plus the distance that the threshold allows. High thresholds on clustered vectors so leave few
+    blocks; a low one, or vectors without structure, leave all, which is the cost of all products. created_at may be null (earliest).
     """
-    width = max((4.0 * (1.0 - threshold)) ** 0.5, 1.0 / buckets) + 1e-9
-    n = v.norm("embedding")
-    unit = vectors.select("id", "created_at", F.when(n < v.TINY, F.transform("embedding", lambda x: x.cast("double"))).otherwise(F.transform("embedding", lambda x: x.cast("double") / n)).alias("e"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def out(ids, b, a, score):
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score)], ["a", "b", "score"])
+
+    return _near(vectors, threshold, probes, f"a {kind}, b {kind}, score double", out)
+
 
-    def pivot(sign):
-        # Distance from the unit vector with alternating signs in the pattern of `sign`.
-        total = F.aggregate(F.transform("e", sign), F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("e"))
-        return F.floor(F.sqrt(F.greatest(F.lit(2.0) - 2.0 * total, F.lit(0.0))) / width)
+def later_rows(vectors: DataFrame, threshold: float, probes: Column | None = None) -> DataFrame:
+    """(id) of rows (of the probes) that have an earlier row as similar as the threshold; a block reports a row once, however many copies it meets."""
+    def out(ids, b, a, score):
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.unique(b)))], ["id"])
 
-    signs = (lambda x, i: x, lambda x, i: F.when(i % 2 == 0, x).otherwise(-x), lambda x, i: F.when(i % 4 < 2, x).otherwise(-x))
-    dealt = unit.select("id", "created_at", "e", *[pivot(s).alias(f"p{k}") for k, s in enumerate(signs)])
-    near = F.array(*[F.struct(*[(F.col(f"p{k}") + d[k]).alias(f"p{k}") for k in range(3)]) for d in ((x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1))])
-    a = dealt.select(F.col("id").alias("a"), F.col("created_at").alias("ca"), F.col("e").alias("ea"), "p0", "p1", "p2")
-    b = dealt.select(F.col("id").alias("b"), F.col("created_at").alias("cb"), F.col("e").alias("eb"), F.explode(near).alias("p")).select("b", "cb", "eb", "p.*")
-    pairs = a.join(b, ["p0", "p1", "p2"]).where(F.struct("ca", "a") < F.struct("cb", "b"))
-    score = (v.dot("ea", "eb") + 1) / 2
-    return pairs.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    return _near(vectors, threshold, probes, f"id {vectors.schema['id'].dataType.simpleString()}", out).distinct()
 
 
 def dedup(vectors: DataFrame, threshold: float) -> DataFrame:
     """Rows without an earlier row as similar as the threshold."""
-    return vectors.join(near_pairs(vectors, threshold).select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    return vectors.join(later_rows(vectors, threshold), "id", "left_anti")
 
 
 def replay(changes: DataFrame) -> DataFrame:

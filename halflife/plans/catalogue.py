@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from halflife.engine import Engine
 from halflife.functions import codec
 from halflife.functions import temporal as t
 from halflife.functions import vector as v
@@ -16,6 +19,7 @@ from halflife.plans.fixtures import AT, CONFIG, COS, DAY_MS, L2, LIVE, QS, REASO
 from halflife.schema import AgentConfig, SearchOptions
 from halflife.sources import json_io
 from halflife.sources.scratch import scratch_path
+from halflife.sources.tables import Tables
 from halflife.streaming import jobs
 
 QUERIES: dict = {}
@@ -133,8 +137,8 @@ R AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 
 
 @query(f"WITH {_batch_sql()} SELECT query_id, rank, id, round(score, 6) AS score, round(sim, 6) AS vector_score, round(tw, 6) AS temporal_score FROM T")
-def batch_topk(spark, sf_dir, wanted=fx.FIRST):
-    return rounded(search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, wanted), AT, CONFIG), *SCORES)
+def batch_topk(spark, sf_dir):
+    return rounded(search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir), AT, CONFIG), *SCORES)
 
 
 @query(f"""WITH {V}, {Q}, P AS (SELECT * FROM V, Q ORDER BY {COS} DESC, id LIMIT 40), S AS (SELECT id, {COS} AS sim, {TW} AS tw, 0.7 * ({COS}) + 0.3 * ({TW}) AS score FROM P WHERE {LIVE})
@@ -148,7 +152,8 @@ def shard_merge_topk(spark, sf_dir):
     return rounded(search.shard_search(fx.vectors(spark, sf_dir), fx.query(spark, sf_dir), AT, CONFIG), *SCORES)
 
 
-@query()
+@query("""SELECT (h % 4)::INTEGER AS shard, count(*) AS n FROM (SELECT list_reduce(list_transform(string_split('vec_' || vec_id, ''), lambda c: ascii(c)::HUGEINT),
+  lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM embeddings) GROUP BY 1""")
 def fnv_shard_sizes(spark, sf_dir):
     ids = F.concat(F.lit("vec_"), F.col("id").cast("string"))
     return evaluate.shard_sizes(fx.vectors(spark, sf_dir).select(codec.shard_of(ids, 4).alias("shard")))
@@ -254,9 +259,9 @@ def graph_path(spark, sf_dir):
     return graph.path_exists(fx.edges(spark, sf_dir), 0, 8)
 
 
-@query(f"WITH RECURSIVE {E}, {_hops_sql(2, seeds='SELECT vec_id AS seed FROM embeddings WHERE vec_id < 5')} SELECT seed AS node FROM S UNION SELECT node FROM R")
-def graph_expand(spark, sf_dir, wanted=fx.FIRST):
-    return graph.expand(fx.edges(spark, sf_dir), fx.queries(spark, sf_dir, wanted).select("query_id"), 2)
+@query(f"WITH RECURSIVE {E}, {_hops_sql(2, seeds='SELECT vec_id AS seed FROM embeddings WHERE vec_id % 50 = 0')} SELECT seed AS node FROM S UNION SELECT node FROM R")
+def graph_expand(spark, sf_dir):
+    return graph.expand(fx.edges(spark, sf_dir), fx.queries(spark, sf_dir).select("query_id"), 2)
 
 
 @query(f"""WITH {E}, B AS (SELECT src AS node, 1 AS o, 0 AS i FROM E UNION ALL SELECT tgt, 0, 1 FROM E) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM B GROUP BY node""")
@@ -336,12 +341,12 @@ def prometheus_text(spark, sf_dir):
     return trace.prometheus(trace.server_counters(fx.read(spark, sf_dir, "events")).where("metric in ('requests', 'errors')"))
 
 
-def _found(spark, sf_dir, wanted=fx.FIRST) -> DataFrame:
-    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, wanted), AT, CONFIG)
+def _found(spark, sf_dir) -> DataFrame:
+    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir), AT, CONFIG)
 
 
-def _cosine_truth(spark, sf_dir, wanted=fx.FIRST) -> DataFrame:
-    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, wanted), AT, CONFIG, SearchOptions(blend=0.0))
+def _cosine_truth(spark, sf_dir) -> DataFrame:
+    return search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir), AT, CONFIG, SearchOptions(blend=0.0))
 
 
 TRUTH = f"C AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM B) WHERE n <= 10)"
@@ -349,14 +354,14 @@ TRUTH = f"C AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER
 
 @query(f"""WITH {_batch_sql()}, {TRUTH}, H AS (SELECT C.query_id, count(T.id) / 10.0 AS recall FROM C LEFT JOIN T USING (query_id, id) GROUP BY C.query_id)
 SELECT round(avg(recall), 6)::DOUBLE AS recall, count(*) AS n_queries FROM H""")
-def eval_recall(spark, sf_dir, wanted=fx.FIRST):
-    return rounded(evaluate.recall_at_k(_found(spark, sf_dir, wanted), _cosine_truth(spark, sf_dir, wanted), 10), "recall")
+def eval_recall(spark, sf_dir):
+    return rounded(evaluate.recall_at_k(_found(spark, sf_dir), _cosine_truth(spark, sf_dir), 10), "recall")
 
 
-def _gold(spark, sf_dir, wanted=fx.FIRST) -> DataFrame:
+def _gold(spark, sf_dir) -> DataFrame:
     """The gold row of a query: the freshest row of its label, then the smallest id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "id")
-    rows = fx.queries(spark, sf_dir, wanted).select("query_id", "label").join(t_live(spark, sf_dir), "label")
+    rows = fx.queries(spark, sf_dir).select("query_id", "label").join(t_live(spark, sf_dir), "label")
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("query_id", F.col("id").alias("gold_id"))
 
 
@@ -371,41 +376,28 @@ K AS (SELECT G.query_id, gold_id, coalesce(min(rank) FILTER (id = gold_id), 11)
 @query(f"""WITH {_batch_sql()}, {GOLD} SELECT avg(CASE WHEN top1 = gold_id THEN 1.0 ELSE 0.0 END)::DOUBLE AS gold_at_1,
   avg(CASE WHEN top1 IN (SELECT id FROM V WHERE ({TW}) < 0.2) THEN 1.0 ELSE 0.0 END)::DOUBLE AS stale_at_1, avg(gold_rank)::DOUBLE AS mean_gold_rank,
   quantile_cont(gold_rank::DOUBLE, 0.5) AS median_gold_rank, avg(CASE WHEN top1 IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS empty_rate FROM K""")
-def eval_gold_rank(spark, sf_dir, wanted=fx.FIRST):
+def eval_gold_rank(spark, sf_dir):
     old = fx.vectors(spark, sf_dir).where(t.is_stale(t.temporal_weight("created_at", AT, CONFIG.half_life_ms), CONFIG)).select(F.col("id").alias("stale_id"))
-    found = _found(spark, sf_dir, wanted)
+    found = _found(spark, sf_dir)
     stale = found.select("query_id", "id").join(old, F.col("id") == F.col("stale_id")).select("query_id", "stale_id")
-    return evaluate.gold_summary(evaluate.gold_ranks(found, _gold(spark, sf_dir, wanted), 10), stale)
+    return evaluate.gold_summary(evaluate.gold_ranks(found, _gold(spark, sf_dir), 10), stale)
 
 
 @query(f"""WITH {_batch_sql()}, {GOLD}, L AS (SELECT query_id, id, CASE WHEN id = gold_id THEN 3.0 ELSE 1.0 END AS rel FROM QS JOIN V ON label = qlabel JOIN G USING (query_id) WHERE {LIVE}),
 I AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(n + 1)) AS idcg FROM (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, id) AS n FROM L) WHERE n <= 5 GROUP BY query_id),
 D AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg FROM T JOIN L USING (query_id, id) WHERE rank <= 5 GROUP BY query_id)
 SELECT query_id, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM I LEFT JOIN D USING (query_id)""")
-def eval_ndcg(spark, sf_dir, wanted=fx.FIRST):
-    gold = _gold(spark, sf_dir, wanted)
-    rows = fx.queries(spark, sf_dir, wanted).select("query_id", "label").join(t_live(spark, sf_dir), "label").join(gold, "query_id")
+def eval_ndcg(spark, sf_dir):
+    gold = _gold(spark, sf_dir)
+    rows = fx.queries(spark, sf_dir).select("query_id", "label").join(t_live(spark, sf_dir), "label").join(gold, "query_id")
     relevance = rows.select("query_id", "id", F.when(F.col("id") == F.col("gold_id"), 3.0).otherwise(1.0).alias("rel"))
-    return rounded(evaluate.ndcg(_found(spark, sf_dir, wanted), relevance), "ndcg")
+    return rounded(evaluate.ndcg(_found(spark, sf_dir), relevance), "ndcg")
 
 
 @query(f"WITH {_batch_sql()}, {GOLD} SELECT query_id % 2 AS cohort, count(*) AS n, avg(CASE WHEN top1 = gold_id THEN 1.0 ELSE 0.0 END)::DOUBLE AS gold_at_1 FROM K GROUP BY 1")
-def eval_cohort(spark, sf_dir, wanted=fx.FIRST):
-    ranks = evaluate.gold_ranks(_found(spark, sf_dir, wanted), _gold(spark, sf_dir, wanted), 10)
-    return evaluate.cohorts(ranks, fx.queries(spark, sf_dir, wanted).select("query_id", (F.col("query_id") % 2).alias("cohort")))
-
-
-def _every50(f):
-    """f and its SQL once more, for all rows whose id is divisible by 50."""
-    def run(spark, sf_dir):
-        return f(spark, sf_dir, fx.EVERY50)
-
-    run.__name__ = f"{f.__name__}_every50"
-    return query(SQL[f.__name__].replace(fx.FIRST, fx.EVERY50))(run)
-
-
-for _f in (batch_topk, graph_expand, eval_recall, eval_gold_rank, eval_ndcg, eval_cohort):
-    _every50(_f)
+def eval_cohort(spark, sf_dir):
+    ranks = evaluate.gold_ranks(_found(spark, sf_dir), _gold(spark, sf_dir), 10)
+    return evaluate.cohorts(ranks, fx.queries(spark, sf_dir).select("query_id", (F.col("query_id") % 2).alias("cohort")))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents),
@@ -502,48 +494,243 @@ def sql_functions(spark, sf_dir):
       hl_is_valid(valid_from, valid_until, {AT}) AS valid FROM halflife_v""")
 
 
-def _recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    one = F.lit(0).alias("query_id")
-    return evaluate.recall_at_k(found.select(one, "id"), truth.select(one, "id"), k)
+#: The indexes written once a session and table, as an index is, by (application, table, kind).
+_INDEXES: dict = {}
+
+
+def _stored_index(spark, sf_dir, kind: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _INDEXES:
+        _INDEXES[key] = build(fx.vectors(spark, sf_dir), scratch_path(spark, kind))
+    return _INDEXES[key]
+
+
+def _lists(spark, sf_dir) -> ivf.Stored:
+    """16 lists, and as many of them probed as hold 0.95 of what a sample of rows finds by the exact search."""
+    def build(rows, path):
+        lists = ivf.store(rows, path, 16)
+        return ivf.save_probes(spark, lists, ivf.probes_for(lists, rows, ivf.sample_queries(rows), 0.95, AT, CONFIG))
+
+    return _stored_index(spark, sf_dir, "lists", build)
+
+
+def _codes(spark, sf_dir) -> tuple[quantize.Codebook, str]:
+    """32 codes of a byte for 64 floats: an eighth of the vectors' bytes."""
+    def build(rows, path):
+        book = quantize.train(rows, 32, 256)
+        quantize.encode(rows, book).write.parquet(path)
+        return book, path
+
+    return _stored_index(spark, sf_dir, "codes", build)
 
 
 @query()
 def ivf_topk(spark, sf_dir):
-    rows, q = fx.vectors(spark, sf_dir), fx.query(spark, sf_dir)
-    centres = ivf.train(rows, 16)
-    return rounded(ivf.ivf_search(ivf.assign(rows, centres), centres, q, 8, AT, CONFIG).select("rank", "id", *SCORES), *SCORES)
+    lists = _lists(spark, sf_dir)
+    return rounded(ivf.ivf_search(lists.rows(spark), lists.centres, fx.query(spark, sf_dir), lists.n_probe, AT, CONFIG).select("rank", "id", *SCORES), *SCORES)
+
+
+def _ivf_found(spark, sf_dir):
+    lists = _lists(spark, sf_dir)
+    return ivf.batch_ivf_search(lists.rows(spark), lists.centres, fx.queries(spark, sf_dir), lists.n_probe, AT, CONFIG)
+
+
+def _pq_found(spark, sf_dir, factor: int):
+    book, path = _codes(spark, sf_dir)
+    return quantize.batch_pq_search(spark.read.parquet(path), book, fx.queries(spark, sf_dir), AT, CONFIG, factor=factor)
+
+
+#: Candidates by codes for each hit wanted, scored again with their vectors.
+FACTOR = 20
+
+
+def _index_recall(spark, sf_dir) -> DataFrame:
+    """(index, recall, n_queries) against the exact search. Codes alone are held against the exact search with the similarity that they approximate."""
+    truth = _found(spark, sf_dir)
+    squared = search.batch_search(fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir), AT, CONFIG, metric="l2_squared")
+    each = {"ivf": (_ivf_found(spark, sf_dir), truth), "pq": (_pq_found(spark, sf_dir, 0), squared), "pq_rescored": (_pq_found(spark, sf_dir, FACTOR), truth)}
+    return reduce(DataFrame.unionAll, [evaluate.recall_at_k(found, exact, 10).select(F.lit(n).alias("index"), "recall", "n_queries") for n, (found, exact) in each.items()])
 
 
 @query()
 def ivf_recall(spark, sf_dir):
-    rows, q = fx.vectors(spark, sf_dir), fx.query(spark, sf_dir)
-    centres = ivf.train(rows, 16)
-    return _recall(ivf.ivf_search(ivf.assign(rows, centres), centres, q, 8, AT, CONFIG), search.search(rows, q, AT, CONFIG), 10)
+    return _index_recall(spark, sf_dir).where("index = 'ivf'").drop("index")
+
+
+@query()
+def pq_recall(spark, sf_dir):
+    return _index_recall(spark, sf_dir).where("index <> 'ivf'")
+
+
+@query("SELECT unnest(['ivf', 'pq', 'pq_rescored']) AS index, true AS enough, count(*) AS n_queries FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall_enough(spark, sf_dir):
+    return _index_recall(spark, sf_dir).select("index", (F.col("recall") >= 0.9).alias("enough"), "n_queries")
 
 
 @query()
 def pq_topk(spark, sf_dir):
-    rows, q = fx.vectors(spark, sf_dir), fx.query(spark, sf_dir)
-    book = quantize.train(rows, 8, 64)
-    return rounded(quantize.pq_search(quantize.encode(rows, book), book, q, AT, CONFIG), *SCORES)
+    book, path = _codes(spark, sf_dir)
+    return rounded(quantize.pq_search(spark.read.parquet(path), book, fx.query(spark, sf_dir), AT, CONFIG), *SCORES)
 
 
 @query()
 def pq_rescore(spark, sf_dir):
-    rows, q = fx.vectors(spark, sf_dir), fx.query(spark, sf_dir)
-    book = quantize.train(rows, 8, 64)
-    return rounded(quantize.pq_rescored(quantize.encode(rows, book), book, q, AT, CONFIG), *SCORES)
+    book, path = _codes(spark, sf_dir)
+    return rounded(quantize.pq_rescored(spark.read.parquet(path), book, fx.query(spark, sf_dir), AT, CONFIG, factor=FACTOR), *SCORES)
 
 
-def _recall_every50(spark, sf_dir, found: DataFrame) -> DataFrame:
-    return evaluate.recall_at_k(found, _found(spark, sf_dir, fx.EVERY50), 10)
+# Lists and codes with given centres, the first rows, so that SQL can say the same.
+GIVEN = 16
 
 
-@query()
-def ivf_recall_every50(spark, sf_dir):
-    rows, queries = fx.vectors(spark, sf_dir), fx.queries(spark, sf_dir, fx.EVERY50)
-    centres = ivf.train(rows, 16)
-    return _recall_every50(spark, sf_dir, ivf.batch_ivf_search(ivf.assign(rows, centres), centres, queries, 8, AT, CONFIG))
+def _given(spark, sf_dir) -> np.ndarray:
+    rows = fx.read(spark, sf_dir, "embeddings").where(F.col("vec_id") < GIVEN).orderBy("vec_id").collect()
+    return np.array([r["embedding"] for r in rows], float)
+
+
+#: In the floats of the search: |c|^2 - 2 x c orders as the distance does.
+NEAREST = f"""G AS (SELECT id AS c, e AS ce FROM V WHERE id < {GIVEN}), D AS (SELECT id, e, c, list_dot_product(ce, ce) - 2 * list_dot_product(e, ce) AS d FROM V, G),
+A AS (SELECT id, any_value(e) AS e, arg_min(c, d)::INTEGER AS cluster FROM D GROUP BY id)"""
+
+
+@query(f"WITH {V}, {NEAREST} SELECT cluster, count(*) AS n FROM A GROUP BY cluster")
+def ivf_list_sizes(spark, sf_dir):
+    return ivf.assign(fx.vectors(spark, sf_dir), _given(spark, sf_dir)).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V}, {NEAREST}, X AS (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS place FROM A) SELECT cluster, place::INTEGER AS place, round(avg(x), 6) AS mean FROM X GROUP BY 1, 2")
+def ivf_centroid_update(spark, sf_dir):
+    return rounded(ivf.centroid_update(ivf.assign(fx.vectors(spark, sf_dir), _given(spark, sf_dir))), "mean")
+
+
+#: Eight parts of eight numbers, with the parts of the first rows as centres.
+CODED = f"""G AS (SELECT id AS c, e AS ce FROM V WHERE id < {GIVEN}), M AS (SELECT unnest(range(8)) AS m),
+D AS (SELECT V.id, m, c, list_sum(list_transform(range(8), lambda i: pow(e[m * 8 + i + 1] - ce[m * 8 + i + 1], 2))) AS d FROM V, G, M),
+C AS (SELECT id, m, arg_min(c, d) AS code FROM D GROUP BY id, m)"""
+
+
+def _given_book(spark, sf_dir) -> quantize.Codebook:
+    return quantize.Codebook(np.ascontiguousarray(_given(spark, sf_dir).reshape(GIVEN, 8, 8).transpose(1, 0, 2)))
+
+
+@query(f"WITH {V}, {CODED} SELECT id, string_agg(code::VARCHAR, ',' ORDER BY m) AS code FROM C GROUP BY id")
+def pq_encode(spark, sf_dir):
+    return quantize.encode(fx.vectors(spark, sf_dir), _given_book(spark, sf_dir)).select("id", F.array_join(F.transform("code", lambda c: c.cast("string")), ",").alias("code"))
+
+
+@query(f"""WITH {V}, {Q}, {CODED}, T AS (SELECT m, c, list_sum(list_transform(range(8), lambda i: pow(q[m * 8 + i + 1] - ce[m * 8 + i + 1], 2))) AS d FROM G, M, Q),
+S AS (SELECT C.id, sum(d) AS d FROM C JOIN T ON C.m = T.m AND code = c GROUP BY C.id),
+N AS (SELECT C.id, sqrt(sum(list_sum(list_transform(range(8), lambda i: pow(ce[m * 8 + i + 1], 2))))) AS n FROM C JOIN G ON code = c GROUP BY C.id)
+SELECT id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS similarity, round(n, 6) AS decoded_norm FROM S JOIN N USING (id)""")
+def pq_distances(spark, sf_dir):
+    book = _given_book(spark, sf_dir)
+    rows = quantize.encode(fx.vectors(spark, sf_dir), book)
+    d = quantize.adc("code", book, fx.query(spark, sf_dir))
+    return rounded(rows.select("id", d.alias("distance"), v.adc_similarity(d).alias("similarity"), v.norm(quantize.decode("code", book)).alias("decoded_norm")), "distance", "similarity", "decoded_norm")
+
+
+@query(f"WITH G AS (SELECT vec_id AS c, embedding AS e FROM embeddings WHERE vec_id < {GIVEN}), M AS (SELECT unnest(range(8)) AS m) SELECT m::INTEGER AS m, c::INTEGER AS c, round(e[m * 8 + 1]::DOUBLE, 6) AS first FROM G, M")
+def codebook_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "book")
+    _given_book(spark, sf_dir).save(spark, path)
+    back = quantize.Codebook.load(spark, path)
+    rows = [(m, c, float(back.centres[m, c, 0])) for m in range(back.subspaces) for c in range(GIVEN)]
+    return rounded(spark.createDataFrame(rows, "m int, c int, first double"), "first")
+
+
+@query(f"WITH {V}, P AS (SELECT a.id AS id, b.id AS neighbour, list_cosine_similarity(a.e, b.e) AS score FROM V a JOIN V b ON a.id <> b.id), R AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour))::INTEGER AS rank FROM P) SELECT id, rank, neighbour, round(score, 6) AS score FROM R WHERE rank <= 4")
+def knn_graph(spark, sf_dir):
+    return rounded(search.knn_graph(fx.vectors(spark, sf_dir), 4), "score")
+
+
+@query("SELECT count(*) AS n_vectors, count(*) * 256 AS raw_bytes, count(*) * 8 AS pq_bytes, 32.0::DOUBLE AS ratio, ceil(1000000000 / count(*)) AS shards, 0.256::DOUBLE AS raw_tb, 0.008::DOUBLE AS pq_tb FROM embeddings")
+def pq_memory(spark, sf_dir):
+    n = fx.vectors(spark, sf_dir).count()
+    goal = codec.scale_projection(n, 64, 8)
+    return spark.createDataFrame([(n, n * 64 * 4, codec.pq_bytes(n, 8), codec.compression_ratio(64, 8), float(goal["shards"]), goal["raw_tb"], goal["pq_tb"])],
+                                 "n_vectors long, raw_bytes long, pq_bytes long, ratio double, shards double, raw_tb double, pq_tb double")
+
+
+# The engine: collections, logged writes, versions -----------------------------------------------------------
+
+def _engine(spark, sf_dir) -> Engine:
+    """A collection filled in two batches and compacted between them; then rows deleted, replaced and given edges."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    engine.create_collection("v", dim=64, temporal=CONFIG)
+    rows = fx.vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "embedding", "payload", "created_at", "valid_from", "valid_until")
+    number = F.col("id").cast("long")
+    engine.upsert("v", rows.where(number % 2 == 0), AT)
+    engine.add_edges("v", rows.select(F.col("id").alias("src"), ((number * 7 + 3) % 100).cast("string").alias("tgt"), F.lit("CAUSES").alias("type")))
+    engine.compact("v")
+    engine.upsert("v", rows.where(number % 2 == 1), AT)
+    engine.upsert("v", rows.where(number % 10 == 4).withColumn("created_at", F.col("created_at") - DAY_MS), AT)
+    engine.delete("v", ["1", "2", "no such id"])
+    return engine
+
+
+ENGINE = f"X AS (SELECT id, e, label, shard, valid_until, CASE WHEN id % 10 = 4 THEN created_at - {DAY_MS} ELSE created_at END AS created_at FROM V WHERE id NOT IN (1, 2))"
+
+
+@query(f"WITH {V}, {ENGINE} SELECT id::VARCHAR AS id, created_at, valid_until FROM X")
+def engine_state(spark, sf_dir):
+    return _engine(spark, sf_dir).vectors("v").select("id", "created_at", "valid_until")
+
+
+@query(f"""WITH {V}, {ENGINE}, {Q}, S AS (SELECT id, {UNIT} AS sim, {TW} AS tw, 0.7 * ({UNIT}) + 0.3 * ({TW}) AS score FROM X, Q WHERE {LIVE})
+SELECT (row_number() OVER (ORDER BY score DESC, id::VARCHAR))::INTEGER AS rank, id::VARCHAR AS id, round(score, 6) AS score, CASE WHEN (id * 7 + 3) % 100 IN (1, 2) THEN '' ELSE ((id * 7 + 3) % 100)::VARCHAR END AS causal_neighbors
+FROM S ORDER BY rank LIMIT 10""")
+def engine_search(spark, sf_dir):
+    hits = _engine(spark, sf_dir).search("v", fx.query(spark, sf_dir), SearchOptions(mode="causal_expand", hops=1), AT)
+    return rounded(hits.select("rank", "id", "score", graph.joined("causal_neighbors").alias("causal_neighbors")), "score")
+
+
+@query(f"WITH {V} SELECT 'v' AS name, count(*) FILTER (id NOT IN (1, 2)) AS n_vectors, 4 AS n_shards, 64 AS dim, 'cosine' AS metric FROM V")
+def engine_stats(spark, sf_dir):
+    return _engine(spark, sf_dir).stats("v")
+
+
+@query(f"WITH {V} SELECT id::VARCHAR AS src, ((id * 7 + 3) % 100)::VARCHAR AS tgt FROM V WHERE id NOT IN (1, 2) AND (id * 7 + 3) % 100 NOT IN (1, 2)")
+def engine_edges(spark, sf_dir):
+    return _engine(spark, sf_dir).edges("v").select("src", "tgt")
+
+
+@query("SELECT unnest([100, 200, 300]) AS at, unnest([(SELECT count(*) FROM nation), (SELECT count(*) FROM nation) + 1, (SELECT count(*) FROM nation)]) AS n")
+def table_versions(spark, sf_dir):
+    tables, rows = Tables(spark, scratch_path(spark, "tables")), fx.read(spark, sf_dir, "nation").select("n_nationkey")
+    tables.write("t", rows, at=100)
+    tables.write("t", rows.unionAll(rows.limit(1)), at=200)
+    tables.write("t", tables.read("t", at=150), at=300)
+    counted = [tables.read("t", at=a).agg(F.lit(a).alias("at"), F.count("*").alias("n")) for a in (100, 200, 300)]
+    return reduce(DataFrame.unionAll, counted)
+
+
+@query(f"""WITH {V} SELECT unnest(['IDLE', 'MIGRATING', 'COMPLETE', 'FAILED']) AS phase, unnest([0, count(*), count(*), count(*)])::BIGINT AS total,
+  unnest([0, count(*) FILTER (id % 5 <> 0), count(*) FILTER (id % 5 <> 0), 0])::BIGINT AS migrated, unnest([0, 0, count(*) FILTER (id % 5 = 0), 0])::BIGINT AS skipped,
+  unnest([0, round(100.0 * count(*) FILTER (id % 5 <> 0) / count(*), 6), 100, 0])::DOUBLE AS pct FROM V""")
+def drift_phases(spark, sf_dir):
+    rows = fx.vectors(spark, sf_dir).select("id", "embedding", "created_at")
+    run = drift.Migration(rows, scratch_path(spark, "migration"))
+    seen = [run.status()]
+    run.start()
+    run.add(rows.where("id % 5 <> 0").select("id", "embedding"))
+    seen.append(run.status())
+    run.finish()
+    seen.append(run.status())
+    other = drift.Migration(rows, scratch_path(spark, "migration"))
+    other.start()
+    other.abort()
+    seen.append(other.status())
+    return rounded(reduce(DataFrame.unionAll, seen), "pct")
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''))::BIGINT AS n_words FROM documents""")
+def doc_tokens(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", F.size(codec.tokenize(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query("SELECT page_id, url LIKE 'http%' AND regexp_extract(url, '^https?://([^/:?#]+)', 1) NOT LIKE '%.local' AS allowed, regexp_extract(url, '^https?://([^/:?#]+)', 1) = 'a.example' AS listed FROM pages")
+def callback_hosts(spark, sf_dir):
+    return fx.read(spark, sf_dir, "pages").select("page_id", codec.host_allowed(F.col("url")).alias("allowed"), codec.host_allowed(F.col("url"), ("a.example",)).alias("listed"))
 
 
 def _stream_parts(rows: DataFrame, parts: int) -> str:
@@ -564,13 +751,21 @@ def _requests(spark, sf_dir) -> DataFrame:
     return fx.read(spark, sf_dir, "events").select(F.col("user_id").alias("client"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("at"), F.col("event_id").alias("request_id"))
 
 
-@query()
+RATE_LIMIT = """WITH RECURSIVE r AS (SELECT user_id AS client, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS seen, event_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b(client, n, request_id, seen, last, allowed, tokens) AS (SELECT client, n, request_id, seen, seen, true, 2.0::DOUBLE FROM r WHERE n = 1 UNION ALL
+  SELECT client, n, request_id, seen, last, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END FROM (
+    SELECT r.client, r.n, r.request_id, r.seen, CASE WHEN tokens < 1 THEN r.seen ELSE last END AS last,
+      CASE WHEN tokens < 1 THEN least(3.0::DOUBLE, tokens + greatest(0.0::DOUBLE, r.seen - last) * (1.0::DOUBLE / 86400)) ELSE tokens END AS t FROM b JOIN r ON r.client = b.client AND r.n = b.n + 1))
+SELECT client, seen AS "at", request_id, allowed FROM b"""
+
+
+@query(RATE_LIMIT)
 def rate_limit_stream(spark, sf_dir):
     rows = _requests(spark, sf_dir)
-    stream = spark.readStream.schema(rows.schema).parquet(_stream_parts(rows, 4))
+    stream = spark.readStream.schema(rows.schema).parquet(_stream_parts(rows, 1))
     return jobs.collected(jobs.rate_limit(stream, 1 / 86_400, 3), scratch_path(spark, "out"), scratch_path(spark, "checkpoint"))
 
 
-@query()
+@query(RATE_LIMIT)
 def rate_limit_table(spark, sf_dir):
     return jobs.rate_limit_batch(_requests(spark, sf_dir), 1 / 86_400, 3)

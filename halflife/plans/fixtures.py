@@ -29,12 +29,12 @@ def query(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-#: The query rows of FIXTURES.md, and a query set that grows with the table.
-FIRST, EVERY50 = "vec_id < 5", "vec_id % 50 = 0"
+#: The query set of the batch searches and evaluations, which grows with the table.
+WANTED = "vec_id % 50 = 0"
 
 
-def queries(spark: SparkSession, sf_dir: str, wanted: str = FIRST) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").where(wanted).select(F.col("vec_id").alias("query_id"), "embedding", "label")
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where(WANTED).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 V = f"""V AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label, vec_id % 2 AS parity, {AT} - ((vec_id * 37) % 60) * {DAY_MS} AS created_at,
   CASE WHEN vec_id % 11 = 0 THEN {AT} - ((vec_id * 37) % 60) * {DAY_MS} + {30 * DAY_MS} END AS valid_until, (vec_id % 4)::INTEGER AS shard FROM embeddings)"""
 Q = "Q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
-QS = "QS AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS qlabel FROM embeddings WHERE vec_id < 5)"
+QS = f"QS AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS qlabel FROM embeddings WHERE {WANTED})"
 E = f"""N AS (SELECT count(*) AS n FROM embeddings),
 E AS (SELECT vec_id AS src, tgt, list_extract([{', '.join(f"'{t}'" for t in EDGE_TYPES)}], (vec_id % 6 + 1)::INTEGER) AS type, (1.0 - (vec_id % 10) / 20.0)::FLOAT AS weight
   FROM (SELECT vec_id, unnest([(vec_id * 7 + 3) % n, (vec_id * 5 + 1) % n]) AS tgt FROM embeddings, N))"""

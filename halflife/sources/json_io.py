@@ -20,6 +20,7 @@ REGISTRY = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("dim", T.IntegerType()), T.StructField("index_type", T.StringType()), T.StructField("metric", T.StringType()),
     T.StructField("n_shards", T.IntegerType()), T.StructField("n_replicas", T.IntegerType()), T.StructField("write_quorum", T.IntegerType()),
     T.StructField("temporal", T.StructType([T.StructField("half_life_ms", T.LongType()), T.StructField("blend", T.DoubleType()), T.StructField("staleness_threshold", T.DoubleType()), T.StructField("cutoff", T.DoubleType())])),
+    T.StructField("agent", T.StructType([T.StructField("enabled", T.BooleanType()), T.StructField("agent_id", T.StringType()), T.StructField("ttl_seconds", T.LongType()), T.StructField("dedup_threshold", T.DoubleType()), T.StructField("cross_agent_readable", T.ArrayType(T.StringType()))])),
 ])
 TENANT = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("max_collections", T.LongType()), T.StructField("max_vectors", T.LongType()),

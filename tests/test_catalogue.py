@@ -4,7 +4,9 @@ import pytest
 from oracle import connect, duck_rows, spark_rows
 
 import __spark_entry__ as entry
+from halflife.operators import ivf
 from halflife.plans import catalogue
+from halflife.plans import fixtures as fx
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +24,18 @@ def test_returns_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
-def test_recall_of_inverted_lists(spark, sf):
-    assert catalogue.ivf_recall(spark, sf).first()["recall"] >= 0.5
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_recall_of_indexes(spark, sf_dir):
+    """Over all rows whose id is divisible by 50, against the exact search."""
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    got = [*catalogue.ivf_recall(spark, sf_dir).collect(), *catalogue.pq_recall(spark, sf_dir).collect()]
+    assert len(got) == 3 and all(r["recall"] >= 0.9 and r["n_queries"] == n for r in got), got
+
+
+def test_lists_prune_files(spark, sf):
+    lists = catalogue._lists(spark, sf)
+    plan = ivf.probe(lists.rows(spark), lists.centres, fx.query(spark, sf), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cluster" in plan
 
 
 def test_entry(spark):

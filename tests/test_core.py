@@ -225,6 +225,120 @@ def test_engine(spark, tmp_path):
     assert not Engine(spark, f"file://{tmp_path}/db").exists("docs")
 
 
+def test_engine_replays_its_log(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/db")
+    e.create_collection("c", dim=2, temporal=TemporalConfig(half_life_ms=1000))
+    kind = "id string, embedding array<float>, payload map<string,string>, created_at long"
+    batch = lambda *rows: spark.createDataFrame([(i, v, {}, at) for i, v, at in rows], kind)
+    e.upsert("c", batch(("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2)), now=10)
+    e.add_edges("c", edges(spark, [("a", "b", "CAUSES"), ("b", "a", "CAUSES")]))
+    e.upsert("c", batch(("a", [0.5, 0.5], 3), ("c", [1.0, 1.0], 4)), now=10)
+    assert e.delete("c", ["b"]) == 1
+    state = lambda x: ({(r["id"], r["created_at"]) for r in x.vectors("c").collect()}, x.edges("c").count())
+    assert state(e) == ({("a", 3), ("c", 4)}, 0) and e.tables.read("c").count() == 0  # nothing but the log was written
+    again = Engine(spark, f"file://{tmp_path}/db")
+    assert state(again) == state(e)
+    again.upsert("c", batch(("b", [0.0, 1.0], 9)), now=10)
+    again.add_edges("c", edges(spark, [("c", "b", "CAUSES")]))
+    before = state(again)
+    assert before == ({("a", 3), ("b", 9), ("c", 4)}, 1)
+    again.compact("c")
+    assert state(again) == before and again.tables.read("c").count() == 3 and not again.tables.log_batches("c", again.tables.current("c")["version"])
+    at = int(again.tables.current("c")["created_at"])
+    assert again.purge("c", 0) == 0 and again.delete("c", ["a"]) == 1
+    again.restore("c", at)
+    assert state(again)[0] == before[0]
+    assert again.prune("c", keep=1) > 0 and state(again)[0] == before[0]
+    with pytest.raises(EngineError):
+        again.vectors("c", 5)
+    again.set_agent("c", AgentConfig(enabled=True, ttl_seconds=7, dedup_threshold=0.9, cross_agent_readable=("x",)))
+    assert Engine(spark, f"file://{tmp_path}/db").config("c").agent == AgentConfig(enabled=True, ttl_seconds=7, dedup_threshold=0.9, cross_agent_readable=("x",))
+
+
+def test_engine_follows_its_index(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    e = Engine(spark, f"file://{tmp_path}/db")
+    e.create_collection("c", dim=8, index_type="ivf", temporal=TemporalConfig(half_life_ms=1000))
+    rows = rows_of(spark, [(f"v{i:03}", [float(x) for x in rng.normal(size=8)], {"k": str(i % 3)}, 0, 0, None) for i in range(200)])
+    q = [float(x) for x in rng.normal(size=8)]
+    e.upsert("c", rows, now=0)
+    assert e.candidates("c", q)[0] == "exact"  # no index yet
+    e.build_index("c", n_lists=8)
+    full = [r["id"] for r in e.search("c", q, at=0, strategy="exact").collect()]
+    assert e.candidates("c", q, n_probe=2)[1].count() < 200 and [r["id"] for r in e.search("c", q, at=0, n_probe=8).collect()] == full
+    assert len(set(full) & {r["id"] for r in e.search("c", q, at=0).collect()}) >= 8
+    assert e.candidates("c", q, "pq", n_probe=8)[1].count() == 200 and [r["id"] for r in e.search("c", q, at=0, strategy="pq", n_probe=8).collect()] == full
+    assert e.candidates("c", q, "auto")[0] == "exact"
+    # What the log says counts at once.
+    e.upsert("c", rows_of(spark, [("new", q, {}, 0, 0, None), (full[0], [-x for x in q], {}, 0, 0, None)]), now=0)
+    e.delete("c", [full[1]])
+    for strategy in ("ivf", "pq"):
+        hits = [r["id"] for r in e.search("c", q, at=0, strategy=strategy, n_probe=8).collect()]
+        assert hits[0] == "new" and hits[1:9] == full[2:10]
+    e.compact("c")
+    assert e.candidates("c", q)[0] == "exact"  # the index is older than the table
+    with pytest.raises(EngineError):
+        e.search("c", q, strategy="tree")
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    data = rows_of(spark, [(f"v{i:03}", [float(x) for x in rng.normal(size=4)], {}, i, 0, None) for i in range(90)])
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(25)], "query_id int, embedding array<double>")
+    rows = lambda: sorted(map(tuple, search.batch_search(data, q, 100, TemporalConfig(half_life_ms=50), SearchOptions(top_k=6)).select("query_id", "rank", "id").collect()))
+    whole = rows()
+    monkeypatch.setattr(search, "BROADCAST_FLOATS", 16)  # four queries a block
+    monkeypatch.setattr(search, "BLOCK_ROWS", 20)
+    assert rows() == whole and len(whole) == 150
+
+
+def test_near_pairs_in_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=8) * 3 + rng.normal(size=(25, 8)) * 0.3 for _ in range(4)] + [np.zeros((2, 8))])
+    data = rows_of(spark, [(f"v{i:03}", [float(a) for a in x[i]], {}, None if i == 3 else i % 7, 0, None) for i in range(len(x))])
+    u = np.array([r["embedding"] for r in data.orderBy("id").collect()], float)
+    u /= np.maximum(np.linalg.norm(u, axis=1), 1e-12)[:, None]
+    key = lambda i: (i != 3, i % 7, i) if i != 3 else (False, 0, i)
+    want = lambda limit: {(f"v{i:03}", f"v{j:03}") for i in range(len(x)) for j in range(len(x)) if key(i) < key(j) and (u[i] @ u[j] + 1) / 2 >= limit}
+    monkeypatch.setattr(writes, "BLOCK", 10)
+    for limit in (0.45, 0.9, 0.98):
+        got = [(r["a"], r["b"]) for r in writes.near_pairs(data, limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want(limit)
+    late = {r["id"] for r in writes.later_rows(data, 0.9, F.col("id") >= "v050").collect()}
+    assert late == {b for _, b in want(0.9) if b >= "v050"}
+
+
+def test_drift_phases(spark, tmp_path):
+    run = drift.Migration(rows_of(spark, [("a", [1.0], {}, 0, 0, None), ("b", [2.0], {}, 0, 0, None)]), f"file://{tmp_path}/shadow")
+    with pytest.raises(EngineError):
+        run.finish()
+    run.start()
+    run.add(spark.createDataFrame([("a", [9.0])], "id string, embedding array<float>"))
+    assert tuple(run.status().first()) == ("MIGRATING", 2, 1, 0, 50.0)
+    assert {(r["id"], r["embedding"][0], r["migrated"]) for r in run.finish().collect()} == {("a", 9.0, True), ("b", 2.0, False)}
+    assert tuple(run.status().first()) == ("COMPLETE", 2, 1, 1, 100.0)
+    with pytest.raises(EngineError):
+        run.abort()
+
+
+def test_beats_without_ids(spark):
+    beats = spark.createDataFrame([("n", 0), ("n", 50), ("n", 50), ("m", 5)], "node_id string, at long")
+    assert [tuple(r) for r in evaluate.heartbeat_gaps(beats, 20).collect()] == [("n", 20, 50, 50)]
+
+
+def test_many_manifests(spark, tmp_path, monkeypatch):
+    from halflife.sources import tables as module
+
+    monkeypatch.setattr(module, "MANIFEST_FILES", 2)
+    tables = Tables(spark, f"file://{tmp_path}/t")
+    for n in range(4):
+        tables.write("x", spark.range(n), at=n * 100)
+    assert [tables.read("x", at=n * 100).count() for n in range(4)] == [0, 1, 2, 3] and tables.manifests().count() == 4
+    assert tables.prune("x", keep=1) == 3 and tables.read("x").count() == 3
+    with pytest.raises(EngineError):
+        tables.read("x", at=150)
+
+
 def test_tables_in_time(spark, tmp_path):
     tables = Tables(spark, f"file://{tmp_path}/t")
     for n, at in ((1, 100), (2, 200), (3, 300)):
