@@ -7,12 +7,14 @@ are sorted into a suffix array with the lengths of common prefixes; a scan with
 common-prefix intervals. In each interval the left contexts are ordered the same way: where they differ at once
 the repeat is as long as it can be to the left, and all occurrences that share a left part belong to it. So each
 occurrence meets all others and not only its neighbours. Anchors with very many occurrences go another exact
-way: their strings are hashed start by start and dealt by hash.
+way: their strings are hashed start by start and dealt by hash. Wherever rows meet by a key, rows of one batch that share
+it are known to be shared and only one of them goes to the key's task.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ LENGTH = 200
 K = 48
 #: Occurrences of an anchor above which its strings are dealt by hash.
 MANY = 20_000
+#: Rows of anchors, or of starts, among which a worker looks for shared ones before it passes them on.
+AT_ONCE = 200_000
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 22
 #: Up to so many text names (16 MB) are broadcast.
@@ -116,26 +120,64 @@ def intervals(lcp: list[int]):
             stack.append((length, first))
 
 
+def _commons(texts: list[bytes], order: list[int]) -> list[int]:
+    """The common prefix of each text in this order with the one before, and 0 for the first."""
+    return [0] + [common(texts[a], texts[b]) for a, b in zip(order, order[1:], strict=False)]
+
+
+def _least_between(values: list[int]):
+    """f(i, j): the least of values[i + 1 : j + 1], by tables of doubling width."""
+    rows = [np.array(values, np.int64)]
+    while 2 << (len(rows) - 1) <= len(values):
+        half, x = 1 << (len(rows) - 1), rows[-1]
+        rows.append(np.minimum(x[: len(x) - half], x[half:]))
+
+    def least(i: int, j: int) -> int:
+        k = (j - i).bit_length() - 1
+        return int(min(rows[k][i + 1], rows[k][j + 1 - (1 << k)]))
+
+    return least
+
+
 def repeat_reach(contexts: list[tuple[bytes, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each (left, right) around one anchor, left reversed: the (left, right) lengths of its maximal repeats.
 
-    Contexts are distinct. Only repeats of at least length bytes count, and of those with equal right lengths
-    the longest; every other context with which they are shared is one of the given.
+    Contexts are distinct. Only repeats of at least length bytes count, and of those with equal left lengths the longest;
+    every other context with which they are shared is one of the given. An interval's members are kept in the order
+    of their left contexts; it takes over the largest of its parts and inserts the others, and only contexts whose
+    neighbours change reach anew, so n contexts cost n log n insertions however deep the intervals nest.
     """
+    n = len(contexts)
     reach: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
-    lcp = [0] + [common(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:], strict=False)]
-    for right, first, last in intervals(lcp):
-        need = length - right
-        members = order[first : last + 1]
-        if right == 0 or len(members) < 2:
+    rights, lefts = [r for _, r in contexts], [x for x, _ in contexts]
+    order = sorted(range(n), key=rights.__getitem__)
+    by_left = sorted(range(n), key=lefts.__getitem__)
+    place = [0] * n
+    for i, c in enumerate(by_left):
+        place[c] = i
+    least = _least_between(_commons(lefts, by_left))
+    held: dict[int, tuple[int, list[int]]] = {}  # by first place of an interval: its last place, and members by left place
+    for right, first, last in intervals(_commons(rights, order)):
+        if right == 0:
             continue
-        members.sort(key=lambda i: contexts[i][0])
-        lefts = [0] + [common(contexts[a][0], contexts[b][0]) for a, b in zip(members, members[1:], strict=False)] + [0]
-        for n, i in enumerate(members):
-            left = max(lefts[n], lefts[n + 1])
+        parts, at = [], first
+        while at <= last:
+            end, members = held.pop(at, (at, None))
+            parts.append([place[order[at]]] if members is None else members)
+            at = end + 1
+        parts.sort(key=len)
+        members, changed = parts.pop(), set()
+        for x in (x for part in parts for x in part):
+            i = bisect_left(members, x)
+            members.insert(i, x)
+            changed.update(members[max(0, i - 1) : i + 2])
+        held[first] = last, members
+        need = length - right
+        for x in changed:
+            i = bisect_left(members, x)
+            left = max(least(members[i - 1], x) if i else 0, least(x, members[i + 1]) if i + 1 < len(members) else 0)
             if left >= need:
-                reach[i].append((left, right))
+                reach[by_left[x]].append((left, right))
     return reach
 
 
@@ -143,21 +185,56 @@ def _batch(names, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+#: What a row is to its key: the only one of its batch, the one that speaks for its batch's others, one that others speak for.
+ALONE, SPEAKS, SPOKEN_FOR = 0, 1, 2
+
+
+def _spoken_for(x: np.ndarray, n_key: int) -> np.ndarray:
+    """The rows of x, copies once, with a last column: see ALONE. What shares its first n_key columns within x is known to be shared."""
+    x = x[np.lexsort(x.T[::-1])]
+    x = x[np.r_[True, (x[1:] != x[:-1]).any(axis=1)]]
+    same = (x[1:, :n_key] == x[:-1, :n_key]).all(axis=1)
+    before, after = np.r_[False, same], np.r_[same, False]
+    return np.c_[x, np.where(before, SPOKEN_FOR, np.where(after, SPEAKS, ALONE))]
+
+
+def _meeting(rows: DataFrame, names: list[str], n_key: int) -> DataFrame:
+    """rows (names and role) dealt by their key, but for those that others speak for: they are known to be shared and go anywhere.
+
+    So a key has one row a batch in its task, however many rows it has.
+    """
+    anywhere = F.xxhash64(*names[n_key:])
+    key = [F.when(F.col("role") == SPOKEN_FOR, anywhere if not i else F.lit(0)).otherwise(F.col(c)) for i, c in enumerate(names[:n_key])]
+    dealt = rows.select("*", F.xxhash64(*key).alias("deal"))
+    return dealt.repartition("deal").drop("deal").select("role", *names).sortWithinPartitions((F.col("role") == SPOKEN_FOR), *names)
+
+
 def _shared_rows(batches, n_key: int):
-    """Of rows sorted by all columns: those whose first n_key columns another, different row shares; copies once."""
-    last, kept = None, False
+    """Of the rows of _meeting(): those whose key another, different row shares; copies once. The column role goes."""
+    last, kept, last_known = None, False, None
     for b in batches:
-        x = np.stack([b.column(i).to_numpy() for i in range(b.num_columns)], axis=1)
+        x = np.stack([b.column(i).to_numpy() for i in range(b.num_columns)], axis=1).astype(np.int64)
+        known = x[:, 0] == SPOKEN_FOR
+        if known.any():
+            y, x = x[known][:, 1:], x[~known]
+            new = np.r_[last_known is None or (y[0] != last_known).any(), (y[1:] != y[:-1]).any(axis=1)]
+            last_known = y[-1]
+            if new.any():
+                yield y[new]
         if last is not None:
             x = np.concatenate([last[None], x])
-        x = x[np.r_[True, (x[1:] != x[:-1]).any(axis=1)]]
-        same = (x[1:, :n_key] == x[:-1, :n_key]).all(axis=1)
-        keep = np.r_[kept, same] | np.r_[same, False]
+        if not len(x):
+            continue
+        # Equal rows lie together; if one of them speaks for others, the copy does.
+        first = np.flatnonzero(np.r_[True, (x[1:, 1:] != x[:-1, 1:]).any(axis=1)])
+        x = np.c_[np.maximum.reduceat(x[:, 0], first), x[first, 1:]]
+        same = (x[1:, 1 : n_key + 1] == x[:-1, 1 : n_key + 1]).all(axis=1)
+        keep = np.r_[kept, same] | np.r_[same, False] | (x[:, 0] == SPEAKS)
         last, kept = x[-1].copy(), bool(keep[-1])
         if keep[:-1].any():
-            yield x[:-1][keep[:-1]]
+            yield x[:-1][keep[:-1]][:, 1:]
     if last is not None and kept:
-        yield last[None]
+        yield last[None, 1:]
 
 
 def _runs(batches):
@@ -200,19 +277,22 @@ def repeated_anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 a = anchors(t.encode(), length)
                 out.append(np.c_[a[:, :1], np.full(len(a), name), a[:, 1:]])
                 size += len(a)
-                if size > 50_000:
-                    yield _batch(fields, [pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T])
+                if size > AT_ONCE:
+                    yield rows(out)
                     out, size = [], 0
             if size:
-                yield _batch(fields, [pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T])
+                yield rows(out)
+
+    def rows(out):
+        return _batch([*fields, "role"], [pa.array(np.ascontiguousarray(c)) for c in _spoken_for(np.concatenate(out), 1).T])
 
     def meet(batches):
         for x in _shared_rows(batches, 1):
             yield _batch(fields, [pa.array(np.ascontiguousarray(c)) for c in x.T])
 
     kind = ", ".join(f"{f} long" for f in fields)
-    found = texts.where(F.octet_length("text") >= length).mapInArrow(find, kind)
-    return found.repartition("hash").sortWithinPartitions(*fields).mapInArrow(meet, kind)
+    found = texts.where(F.octet_length("text") >= length).mapInArrow(find, f"{kind}, role long")
+    return _meeting(found, fields, 1).mapInArrow(meet, kind)
 
 
 def repeated_spans(docs_named: DataFrame, names: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -253,13 +333,25 @@ def repeated_spans(docs_named: DataFrame, names: DataFrame, length: int = LENGTH
             if out:
                 yield _batch(["name", "start", "end"], [pa.array(v, pa.int64()) for v in zip(*out, strict=True)])
 
+    strings = ["a", "b", "name", "start"]
+
     def starts(batches):
+        held, size = [], 0
         for b in batches:
             for _, name, place, left, right in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 data, at = left[::-1] + right, place - len(left)
                 hashes = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(len(data) - length + 1)]
                 x = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                yield _batch(["a", "b", "name", "start"], [pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1])), pa.array([name] * len(x)), pa.array(np.arange(at, at + len(x)))])
+                held.append(np.c_[x, np.full(len(x), name), np.arange(at, at + len(x))])
+                size += len(x)
+                if size > AT_ONCE:
+                    yield found_starts(held)
+                    held, size = [], 0
+        if size:
+            yield found_starts(held)
+
+    def found_starts(held):
+        return _batch([*strings, "role"], [pa.array(np.ascontiguousarray(c)) for c in _spoken_for(np.concatenate(held), 2).T])
 
     def twice(batches):
         for x in _shared_rows(batches, 2):
@@ -268,8 +360,8 @@ def repeated_spans(docs_named: DataFrame, names: DataFrame, length: int = LENGTH
     kind, span = "hash long, name long, place long, left binary, right binary", "name long, start long, end long"
     around = texts.join(per_text, "name").select("name", "text", "anchors").mapInArrow(cut, kind)
     if many.limit(1).count():
-        often = around.join(many, "hash", "left_semi").mapInArrow(starts, "a long, b long, name long, start long")
-        often = often.repartition("a").sortWithinPartitions("a", "b", "name", "start").mapInArrow(twice, span)
+        often = around.join(many, "hash", "left_semi").mapInArrow(starts, "a long, b long, name long, start long, role long")
+        often = _meeting(often, strings, 2).mapInArrow(twice, span)
         usual = around.join(many, "hash", "left_anti")
     else:
         often, usual = None, around
