@@ -39,11 +39,17 @@ def hash128(x: Column) -> Column:
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in ids; rows without doc_id stay.
+def text_hash() -> Column:
+    return F.xxhash64("text")
 
-    A small id table, checked by a count, is broadcast; a larger one is joined by a shuffle.
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id and text_hash() are in gone (doc_id, text_hash); null is a doc_id like others.
+
+    A small table, checked by a count, is broadcast; a larger one is joined by a shuffle.
     """
-    ids = stored(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(gone.select("doc_id", "text_hash").distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    d, g = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_hash().alias("text_hash")).alias("d"), (F.broadcast(gone) if few else gone).alias("g")
+    kept = d.join(g, [F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("d.text_hash") == F.col("g.text_hash")], "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

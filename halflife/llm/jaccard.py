@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.llm.common import documents, small_batches, stored
+from halflife.llm.common import documents, small_batches, stored, text_hash
 from halflife.llm.components import components
 from halflife.llm.shingles import node, shingles, words
 
@@ -27,8 +27,9 @@ BITS = 512
 SLICE = 1_000
 #: The order of shingles comes from counts of so many hash buckets over all documents.
 BUCKET_BITS = 17
-#: Rows of a tile's block; nodes and shingles of a cluster's block.
+#: Rows of a tile's block, and blocks of a tile that all meet in pairs; nodes and shingles of a cluster's block.
 TILE = 1_024
+PAIRED = 16
 BLOCK = 512
 BLOCK_ITEMS = 2_000_000
 #: Nodes of a large cluster that every block of it sees.
@@ -121,27 +122,27 @@ class Union:
 
 
 def describe(docs: DataFrame, width: int, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """One row (doc_id, size, node, twin) for each row of docs, and the rank of each hash bucket.
+    """One row (doc_id, text_hash, size, node, twin) for each row of docs, and the rank of each hash bucket.
 
     One pass over the texts. The bucket counts are summed on the way: they have a fixed size on the driver.
     """
-    schema = [("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("bucket", pa.int64())]
+    schema = [(c, pa.int64()) for c in ("doc_id", "text_hash", "size", "node", "twin", "bucket")]
 
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for texts in _texts(batches, 2):
-            sets = [shingles(words(t), width) for _, t in texts]
+        for texts in _texts(batches, 3):
+            sets = [shingles(words(t), width) for _, t, _ in texts]
             counts += np.bincount(_buckets(np.concatenate(sets)), minlength=len(counts))
             names = [node(s, seed) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield _out(schema, [[i for i, _ in texts], [len(s) for s in sets], [a for a, _ in names], [b for _, b in names], none])
+            yield _out(schema, [[i for i, _, _ in texts], [h for _, _, h in texts], [len(s) for s in sets], [a for a, _ in names], [b for _, b in names], none])
         full = np.flatnonzero(counts)
         for at in range(0, len(full), 10_000):
             part = full[at : at + 10_000]
             none = pa.nulls(len(part), pa.int64())
-            yield _out(schema, [none, counts[part], none, none, part])
+            yield _out(schema, [none, none, counts[part], none, none, part])
 
-    every = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, node long, twin long, bucket long"), "sets")
+    every = stored(docs.select("doc_id", "text", text_hash()).mapInArrow(run, ", ".join(f"{c} long" for c, _ in schema)), "sets")
     sums = every.where("bucket is not null").groupBy("bucket").agg(F.sum("size").alias("n")).toPandas()
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
@@ -260,7 +261,8 @@ def _groups(batches, n_keys: int):
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """(u, v): for each size-banded tile edges that span what the bitmaps let through.
 
-    rows has tile, band, node, size and bits. Tiles of over TILE rows are cut into blocks that meet in pairs.
+    rows has tile, band, node, size and bits. Tiles of over TILE rows are cut into blocks that meet in pairs; with over
+    PAIRED blocks, a group of near copies as a rule, nodes that leaders join already do not meet again.
     """
     schema = [("u", pa.int64()), ("v", pa.int64())]
     key = ["tile", "band", "i", "j"]
@@ -306,17 +308,45 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield _out(schema, list(edges(held).T))
 
+    def met(dealt):
+        return dealt.select(*key, "node", "size", "bits", "side").repartition(*key).sortWithinPartitions(*key).mapInArrow(cross, "u long, v long")
+
     # side 2: a block with itself; 0 and 1: the two blocks of a pair.
+    alone = F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")
     large = stored(rows.groupBy("tile", "band").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "tiles")
     if not large.limit(1).count():
-        dealt = rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
-    else:
-        cut = rows.join(large, ["tile", "band"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int"))
-        cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = cut.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                           F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = dealt.select(*key, "node", "size", "bits", "side")
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(cross, "u long, v long")
+        return met(rows.select("*", *alone))
+    small = met(rows.join(large, ["tile", "band"], "left_anti").select("*", *alone))
+    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    wide = rows.join(large, ["tile", "band"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    found = small.unionAll(met(_all_blocks(wide.where(F.col("n") <= TILE * PAIRED))))
+    huge = wide.where(F.col("n") > TILE * PAIRED)
+    if not large.where(F.col("n") > TILE * PAIRED).limit(1).count():
+        return found
+    # Huge tiles: blocks that all see the same few leaders join most nodes; only what stays outside a tile's
+    # largest part then meets every block of the tile.
+    huge = stored(huge, "huge")
+    turn = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(LEADERS)).alias("turn")
+    lead = huge.groupBy("tile", "band", turn).agg(F.min("node").alias("node")).select("tile", "band", "node")
+    lead = huge.join(lead, ["tile", "band", "node"], "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).where("i <> own")
+    own = huge.select("*", F.col("own").alias("i"))
+    first = stored(met(own.unionByName(lead).select("*", F.lit(-1).alias("j"), F.lit(2).alias("side"))), "first-edges")
+    parts = stored(huge.select("tile", "band", "node").join(components(first), "node", "left").select("tile", "band", "node", F.coalesce("root", "node").alias("part")), "parts")
+    biggest = parts.groupBy("tile", "band", "part").agg(F.count("*").alias("n")).groupBy("tile", "band").agg(F.max_by("part", F.struct("n", "part")).alias("part"))
+    outside = parts.join(biggest, ["tile", "band", "part"], "left_anti").select("tile", "band", "node")
+    outside = stored(outside, "outside")
+    turns = stored(outside.groupBy("tile", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("turns")), "turns")
+    rest = huge.join(outside, ["tile", "band", "node"], "left_semi").join(turns, ["tile", "band"]).withColumn("j", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("turns")).cast("int"))
+    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("side"))
+    against = huge.join(turns, ["tile", "band"]).select("*", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("j"), F.lit(1).alias("side"))
+    return found.unionAll(first).unionAll(met(rest.select(against.columns).unionAll(against)))
+
+
+def _all_blocks(wide: DataFrame) -> DataFrame:
+    """Every pair of a tile's blocks."""
+    cut = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                      F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
 
 
 def verify(dealt: DataFrame, percent: int) -> DataFrame:
@@ -353,12 +383,13 @@ def verify(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.select(columns).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "side").mapInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, sets: DataFrame, rank, width: int, percent: int, seed: int) -> DataFrame:
-    """(u, v) between nodes: edges that have the components of all links, each of them a link or implied by links."""
+def links(docs: DataFrame, nodes: DataFrame, repeated: bool, rank, width: int, percent: int, seed: int) -> DataFrame:
+    """(u, v) between nodes: edges that have the components of all links, each of them a link or implied by links.
+
+    nodes has node, first (the smallest doc_id) and size, one row for each set; repeated tells whether a doc_id may have several texts.
+    """
     rows = stored(tile_rows(docs, rank, width, percent, seed), "tile-rows")
-    ids = sets.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"))
-    ids = stored(ids, "ids")
-    repeated = sets.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    ids = stored(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"), "size"), "ids")
     bits = bitmaps(docs, ids.select("doc_id").distinct(), width, percent, seed)
     bits = stored((bits.dropDuplicates(["node"]) if repeated else bits).select("node", F.inline("slices")), "bitmaps")
     small = bits.limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS
@@ -400,7 +431,7 @@ def links(docs: DataFrame, sets: DataFrame, rank, width: int, percent: int, seed
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
+    """(doc_id, text_hash, n_shingles, component_id) for every row of docs.
 
     A document's set has its distinct shingles of width words (A-Z lower-cased); fewer words make one shingle.
     Documents link if 100 * intersection >= percent * union; component_id is the smallest doc_id that links
@@ -414,19 +445,23 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     known = docs.where("doc_id is not null")
     for seed in range(8):
         sets, rank = describe(docs, width, seed)
-        nodes = sets.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("twin").alias("a"), F.max("twin").alias("b"))
+        # Combined before the shuffle, so a set that very many documents have is no burden.
+        nodes = sets.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("size").alias("size"), F.min("twin").alias("a"), F.max("twin").alias("b"))
         nodes = stored(nodes, "nodes")
         if not nodes.where("a <> b").limit(1).count():  # else two sets share a name: name them anew
             break
-    found = components(links(known, sets.where("size > 0 and doc_id is not null"), rank, width, percent, seed))
+    repeated = sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    found = components(links(known, nodes.select("node", "first", "size"), repeated, rank, width, percent, seed))
     named = stored(nodes.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # A root's nodes, and a node's documents, may be very many. What they meet is stored first: a join of two plain
+    # shuffles can be split where a key is skewed, one on top of an aggregate cannot.
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
     named = stored(named.join(least, "root").select("node", "component_id"), "named")
     return sets.join(named, "node", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"),
+        "doc_id", "text_hash", F.col("size").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).drop("text_hash")
