@@ -12,6 +12,16 @@ LOWER = UPPER.lower()
 #: White space that separates words and is stripped from lines: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: ASCII but for letters and digits, and but for lower-case letters and digits.
+PUNCTUATION = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+NOT_LOWER = PUNCTUATION + UPPER
+
+
+def one_of(characters: str, but: bool = False) -> str:
+    """A regular expression of one of these characters, or of any other. Each is named, as Java looks named ones up in a table and tries ranges one by one."""
+    return f"[{'^' if but else ''}{''.join(f'\\x{ord(c):02x}' for c in characters)}]"
+
+
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
