@@ -10,10 +10,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -32,15 +36,19 @@ ARC_FIELDS = {
 MIN_REVISIT_BYTES = 100
 #: Up to so many repeated payloads are broadcast; more are joined by a shuffle.
 BROADCAST_PAYLOADS = 200_000
-RECORDS_PER_FILE = 20_000
+#: Compressed bytes of a WARC file; a reader loads a file whole.
+FILE_BYTES = 32 << 20
+#: Bytes of records that a worker passes on at once.
+SENT = 8 << 20
 
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:halflife:arc-records")
 _END = b"\r\n\r\n"
+_BLANK = re.compile(rb"\n\r?\n")
 _EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 
 class ArcError(ValueError):
-    """The bytes are no ARC, or end before a declared length."""
+    """The bytes are no ARC, end before a declared length, or have no date."""
 
 
 @dataclass(frozen=True)
@@ -71,42 +79,100 @@ def write_arc(version: int, name: str, records) -> bytes:
     return b"\n".join([arc_line(version, first, about) + about, *(arc_line(version, v, c) + c for v, c in records)]) + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """All records of an ARC, the version block as the first.
+class _Stream:
+    """Bytes that come in chunks, read by line or by length."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.held, self.at = iter(chunks), b"", 0
+
+    def _more(self, least: int = 0) -> bool:
+        parts, size = [self.held[self.at :]], len(self.held) - self.at
+        self.at, before = 0, size
+        for chunk in self.chunks:
+            parts.append(chunk)
+            size += len(chunk)
+            if size > before and size >= least:
+                break
+        self.held = b"".join(parts)
+        return size > before
+
+    def line(self) -> bytes | None:
+        """The next line without its end; None at the end of the bytes."""
+        searched = self.at
+        while (end := self.held.find(b"\n", searched)) < 0:
+            searched = len(self.held) - self.at
+            # Twice as much each time, so that a long line is not copied for every chunk.
+            if not self._more(2 * searched):
+                if self.at >= len(self.held):
+                    return None
+                end = len(self.held)
+                break
+        out, self.at = self.held[self.at : end], end + 1
+        return out
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self._more(n):
+            pass
+        out = self.held[self.at : self.at + n]
+        self.at += n
+        return out
+
+
+def _header(line: bytes, version: int | None) -> dict[str, str] | None:
+    """The fields of a header line, or None where the line is none: another number of fields, or a length that is no number."""
+    parts = line.decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
+    names = ARC_FIELDS[version] if version else next((f for f in ARC_FIELDS.values() if len(f) == len(parts)), ())
+    return dict(zip(names, parts, strict=True)) if len(parts) == len(names) and parts[-1].isascii() and parts[-1].isdigit() else None
+
+
+def read_arc(chunks: Iterable[bytes], errors: list[str] | None = None) -> Iterator[ArcRecord]:
+    """All records of an ARC that comes in chunks, the version block as the first; one record is held at a time.
 
     The first header line has the fields of version 1, or all ten; its block tells the version, whose fields the
     lines after it must have. Empty lines between records are passed over. Raises ArcError where a line has
-    another number of fields, a length is no number, or the bytes end before it.
+    another number of fields, a length is no number, or the bytes end before it. With a list of errors only a broken
+    start is raised: after a broken header line the next one that can be a header with a date goes on, and a record
+    that ends early is left out; each is noted in the list.
     """
-    at, version = 0, None
-    while True:
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(data):
-            break
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ArcError(f"no header line at byte {at}")
-        parts = data[at:end].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
-        names = ARC_FIELDS[version] if version else next((f for f in ARC_FIELDS.values() if len(f) == len(parts)), ())
-        if len(parts) != len(names) or not parts[-1].isdigit():
-            raise ArcError(f"bad header line at byte {at}")
-        at, length = end + 1, int(parts[-1])
-        content = data[at : at + length]
+    stream, version, lost = _Stream(chunks), None, False
+    while (line := stream.line()) is not None:
+        if not line.strip(b"\r"):
+            continue
+        fields = _header(line, version)
+        if lost and (fields is None or not (fields["Archive-date"].isdigit() and len(fields["Archive-date"]) == 14)):
+            continue
+        if fields is None:
+            if errors is None or version is None:
+                raise ArcError(f"bad header line {line[:80]!r}")
+            errors.append(f"bad header line {line[:80]!r}")
+            lost = True
+            continue
+        lost, length = False, int(fields["Archive-length"])
+        content = stream.read(length)
         if len(content) < length:
-            raise ArcError(f"record at byte {at} ends early")
-        at += length
+            if errors is None or version is None:
+                raise ArcError(f"{fields['URL']} ends early")
+            errors.append(f"{fields['URL']} ends early")
+            return
         if version is None:
-            if not parts[0].startswith("filedesc://"):
+            if not fields["URL"].startswith("filedesc://"):
                 raise ArcError("no version block")
-            version = int(content.split(b" ", 1)[0])
+            number = content.split(b" ", 1)[0]
+            version = int(number) if number.isdigit() else None
             if version not in ARC_FIELDS:
-                raise ArcError(f"unknown version {version}")
-        yield ArcRecord(version, dict(zip(names, parts, strict=True)), content)
+                raise ArcError(f"unknown version {number[:20]!r}")
+            if len(fields) != len(ARC_FIELDS[version]):
+                fields = {f: fields.get(f, "-") for f in ARC_FIELDS[version]}
+        yield ArcRecord(version, fields, content)
     if version is None:
         raise ArcError("empty archive")
 
 
+def parse_arc(data: bytes) -> Iterator[ArcRecord]:
+    """read_arc() of bytes."""
+    return read_arc([data])
+
+
 def iso_date(digits: str) -> str:
     """ARC's 14 digits, or the first of them, as WARC's time; what lacks is that of 1970-01-01. Raises ArcError for no date."""
     whole = "".join(c for c in digits if c != "-")[:14]
@@ -122,11 +188,14 @@ def record_id(url: str, date: str, digest: str) -> str:
 
 
 def http_parts(content: bytes) -> tuple[bytes, bytes]:
-    """The head of an HTTP response, blank line included, and its payload; content of another kind is all payload."""
+    """The head of an HTTP response, blank line included, and its payload; content of another kind is all payload.
+
+    Lines end in CR LF or, as in many old archives, in LF alone; the head ends at the first empty line of either kind.
+    """
     if not content.startswith(b"HTTP/"):
         return b"", content
-    head, gap, body = content.partition(_END)
-    return head + gap, body
+    end = _BLANK.search(content)
+    return (content, b"") if end is None else (content[: end.end()], content[end.end() :])
 
 
 def warc_record(headers: dict[str, str], block: bytes) -> bytes:
@@ -183,14 +252,54 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Writes the binary column `record` as gzip-compressed WARC files in a folder.
+def member(record: bytes) -> bytes:
+    """The record with its two line ends as a gzip member of its own, which a reader can begin at, without its last byte, a zero.
 
-    Spark's own text sink writes the bytes as they are and commits whole files, so retried or lost tasks leave
-    no half archives; its line separator is the end of a WARC record.
+    The last byte of a member is the highest of its length. Where that is not zero, an empty member follows.
     """
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END.decode()).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out = gzip.compress(record + _END, 6, mtime=0)
+    return (out if not out[-1] else out + gzip.compress(b"", mtime=0))[:-1]
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes the binary column `record` as gzip WARC files of about file_bytes at most, or of one record, in subfolders of a folder.
+
+    Every record is a gzip member. Spark's own text sink writes the bytes as they are and commits whole files, so retried
+    or lost tasks leave no half archives; its line separator is the zero byte in which a member ends. The files' names end in .txt.
+    """
+    def run(batches):
+        number, size = 0, 0
+        for b in batches:
+            out, bytes_, files = [], 0, []
+            for r in b.column(0):
+                out.append(member(r.as_py()))
+                if size and size + len(out[-1]) > file_bytes:
+                    number, size = number + 1, 0
+                size += len(out[-1])
+                bytes_ += len(out[-1])
+                files.append(number)
+                if bytes_ > SENT:
+                    yield rows(out, files)
+                    out, bytes_, files = [], 0, []
+            if out:
+                yield rows(out, files)
+
+    def rows(out, files):
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], ["value", "file"])
+
+    made = records.select("record").mapInArrow(run, "value binary, file int")
+    with _conf(records.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "64"):  # else all records are sorted by file
+        made.select(F.col("value").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
+
+
+@contextmanager
+def _conf(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -227,24 +336,50 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert_archives(spark: SparkSession, arc_path: str, warc_path: str) -> DataFrame:
-    """Converts a folder of ARC files (plain or gzip) to WARC; returns (path, n_records, error) for each file.
+    """Converts a folder of ARC files (plain, or gzip with names in .gz) to WARC; returns (path, n_records, n_errors, error) for each file.
 
-    A file that is no ARC, or ends early, gives its error and no records of its own.
+    A file's bytes reach a worker line by line, in order, and one record is held at a time, so a file may be of any size
+    and has one task. A file that is no ARC gives its error and no records; of one that is broken later the good records are kept.
+    Empty files have no lines and no row.
     """
-    def run(batches):
+    # The text reader unzips; LF as the separator leaves every other byte alone. A plain file may be read in parts.
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(arc_path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("line"))
+    kinds = {"path": pa.string(), "record": pa.binary(), "n_records": pa.int64(), "n_errors": pa.int64(), "error": pa.string()}
+
+    def out(**columns):
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], list(kinds))
+
+    def rows(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                    made, error = [convert(r) for r in parse_arc(data)], None
-                except (ArcError, OSError, EOFError, ValueError) as e:
-                    made, error = [], str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([made], pa.list_(pa.binary())), pa.array([error], pa.string())], ["path", "records", "error"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(arc_path).select("path", "content")
-    made = stored(files.mapInArrow(run, "path string, records array<binary>, error string"), "converted")
-    write_warc(made.select(F.explode("records").alias("record")), warc_path)
-    return made.select("path", F.size("records").alias("n_records"), "error")
+            yield from zip(b.column("path").to_pylist(), b.column("line"), strict=True)
+
+    def run(batches):
+        for path, group in groupby(rows(batches), key=itemgetter(0)):
+            errors: list[str] = []
+            held, size, n = [], 0, 0
+            try:
+                for record in read_arc((x.as_py() + b"\n" for _, x in group), errors):
+                    try:
+                        held.append(convert(record))
+                    except ArcError as e:
+                        errors.append(f"{record.url}: {e}")
+                        continue
+                    n, size = n + 1, size + len(held[-1])
+                    if size > SENT:
+                        yield out(path=[path] * len(held), record=held)
+                        held, size = [], 0
+            except ArcError as e:
+                errors.append(str(e))
+            if held:
+                yield out(path=[path] * len(held), record=held)
+            yield out(path=[path], n_records=[n], n_errors=[len(errors)], error=[errors[0] if errors else None])
+
+    dealt = lines.repartition("path").sortWithinPartitions("path", "part", "n").select("path", "line")
+    made = stored(dealt.mapInArrow(run, "path string, record binary, n_records long, n_errors long, error string"), "converted")
+    write_warc(made.where("record is not null").select("record"), warc_path)
+    return made.where("n_records is not null").select("path", "n_records", "n_errors", "error")
 
 
 def page_date(page_id: int | None) -> str:
