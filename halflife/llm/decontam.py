@@ -9,12 +9,13 @@ are fingerprinted: all of them, at every start, which loses nothing.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.llm.common import documents, stored
+from halflife.llm.common import NOT_LOWER, documents, one_of, stored
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -24,8 +25,8 @@ BITS = 56
 BLOCKS = 4
 #: At a similarity of 0.8 two fingerprints differ by 8.5 bits on average; 15 is reached by 99.5 % of such pairs.
 RADIUS = 15
-#: Up to so many rows of the benchmark's side are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many bytes of the benchmark's side are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 _LANES = 0x0001010101010101
 _TOPS = 0x0080808080808080
@@ -34,7 +35,7 @@ _BLOCK_BITS = BITS // BLOCKS
 
 def split_words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; ASCII punctuation and white space separate."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), one_of(NOT_LOWER) + "+"), "")
 
 
 def shingle_hashes(words: str) -> Column:
@@ -68,9 +69,15 @@ def _block(fingerprint: Column | str, b: int) -> Column:
     return F.shiftright(fingerprint, b * _BLOCK_BITS).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1))
 
 
+def _few(table: DataFrame) -> bool:
+    """Whether the rows, counted with their longest arrays and strings, have no more than BROADCAST_BYTES."""
+    wide = {"array": lambda c: 24 + 8 * F.coalesce(F.size(c), F.lit(0)), "string": lambda c: 24 + F.coalesce(F.octet_length(c), F.lit(0))}
+    row = reduce(lambda a, b: a + b, [wide.get(t.partition("<")[0], lambda c: F.lit(8))(F.col(c)) for c, t in table.dtypes], F.lit(16))
+    return (table.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _joined(big: DataFrame, small: DataFrame, on) -> DataFrame:
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on)
+    return big.join(F.broadcast(small) if _few(small) else small, on)
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -110,7 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         F.least(F.greatest(p - F.col("n_words") + WIDTH, F.lit(0)), last), F.least(p, last)))))
     hits = stored(hits.select("doc_id", "text_hash", "n_words", starts.alias("starts")), "hits")
     ids = hits.select("doc_id", "text_hash").distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = _few(ids)
     same = [F.col("w.doc_id").eqNullSafe(F.col("i.doc_id")), F.col("w.text_hash") == F.col("i.text_hash")]
     held = words.alias("w").join(F.broadcast(ids).alias("i") if few else ids.alias("i"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     held = held.select("doc_id", "text_hash", shingle_hashes("words").alias("all")).alias("d").join(

@@ -72,7 +72,7 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
 
 
 def assess(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
-    """Adds the struct column `_quality` to docs: the counts, features, score, base_failed and kept.
+    """(row, quality) for every row of docs: its columns as a struct, and a struct of the counts, features, score, base_failed and kept.
 
     A null text counts as empty. The column is computed in one pass over the whole text; without a forest
     score and verdict are those of the base rules alone.
@@ -92,7 +92,7 @@ def assess(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
     # Non-deterministic only to the optimizer: a filter on the verdict then does not compute the column twice.
     small_batches(docs.sparkSession)
     udf = F.arrow_udf(batch, f"struct<{schema}>").asNondeterministic()
-    return docs.withColumn("_quality", udf(F.col("text").cast("binary")))
+    return docs.select(F.struct(*docs.columns).alias("row"), udf(F.col("text").cast("binary")).alias("quality"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> gbt.Forest:
@@ -103,13 +103,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy("doc_id").agg(F.min("quality").alias("_good"))
+        .groupBy("doc_id").agg(F.min("quality").alias("good"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     # Bounded: sample_rows rows of two numbers.
     rows = assess(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), None)
-    got = rows.select("doc_id", "_good", *[F.col(f"_quality.{c}") for c in FEATURES]).toPandas().sort_values("doc_id", kind="stable")
-    y = (got["_good"] > 0).to_numpy(float)
+    got = rows.select("row.doc_id", "row.good", *[F.col(f"quality.{c}") for c in FEATURES]).toPandas().sort_values("doc_id", kind="stable")
+    y = (got["good"] > 0).to_numpy(float)
     return gbt.fit(got[list(FEATURES)].to_numpy(float), y, MONOTONE) if len(set(y)) == 2 else gbt.constant(0.999)
 
 
@@ -120,4 +120,21 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     forest = train(docs, labels(spark, sf_dir))
-    return assess(docs, forest).select("doc_id", *[F.col(f"_quality.{c}") for c in (*COUNTS, "base_failed", "kept", "score")])
+    return assess(docs.select("doc_id", "text"), forest).select("row.doc_id", *[F.col(f"quality.{c}") for c in (*COUNTS, "base_failed", "kept", "score")])
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: the counts and the base rules."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", *COUNTS, "base_failed")
+
+
+COUNTED = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) >= 3),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS times FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE times > 1) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
