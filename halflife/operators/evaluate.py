@@ -75,6 +75,13 @@ def durability_report(nodes: DataFrame, k: int, m: int, p: float) -> DataFrame:
         "*", F.lit(durability_loss(k, m, p)).alias("p_loss_per_year"), F.lit(durability_nines(k, m, p)).alias("effective_nines"))
 
 
+def health_gauges(report: DataFrame, at_risk: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(metric, value) for prometheus(): of durability_report(), scrub() and heartbeat_gaps()."""
+    one = report.crossJoin(at_risk.agg(F.count_if("at_risk").alias("risk"), F.count("*").alias("scrubbed"))).crossJoin(gaps.agg(F.count("*").alias("gaps")))  # one row each
+    named = {"nodes_healthy": "n_healthy", "nodes_failed": "n_failed", "durability_nines": "effective_nines", "p_data_loss_year": "p_loss_per_year", "segments_at_risk": "risk", "segments_scrubbed": "scrubbed", "failures": "gaps"}
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in named.items()])))
+
+
 def report_text(report: DataFrame) -> DataFrame:
     return report.select(F.format_string("%s: %d of %d nodes healthy, %.2f nines", "status", "n_healthy", "n_nodes", "effective_nines").alias("text"))
 

@@ -56,3 +56,25 @@ def prometheus(metrics: DataFrame, prefix: str = "halflife") -> DataFrame:
     """(metric, text): exposition lines of (metric, value)."""
     name = F.concat(F.lit(f"{prefix}_"), "metric")
     return metrics.select("metric", F.concat(F.lit("# TYPE "), name, F.lit(" gauge\n"), name, F.lit(" "), F.col("value").cast("string")).alias("text"))
+
+
+def trace_json(traces: DataFrame, service: str | None = None, exported_at: int | None = None) -> DataFrame:
+    """One JSON text (value) a trace, warnings and alerts nested; with a service, a structured log line of it."""
+    more = [] if service is None else [F.lit(service).alias("service"), F.lit("retrieval_trace").alias("type"), F.lit(exported_at).cast("long").alias("exported_at_ms")]
+    return traces.select(F.to_json(F.struct(*traces.columns, *more)).alias("value"))
+
+
+def otlp(traces: DataFrame, service: str, ended_at: int) -> DataFrame:
+    """One OTLP request in JSON (value) a trace of trace(): a span from latency_ms before ended_at. For a text sink or foreachBatch; nothing is sent."""
+    end = F.lit(ended_at).cast("long") * 1_000_000
+    start = end - (F.coalesce("latency_ms", F.lit(0.0)) * 1_000_000).cast("long")
+    key = F.sha2(F.concat_ws("\n", "query_id", "collection", end.cast("string")), 256)
+    text = lambda name, value: F.struct(F.lit(name).alias("key"), F.struct(value.cast("string").alias("stringValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value"))
+    number = lambda name, value: F.struct(F.lit(name).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), value.cast("double").alias("doubleValue")).alias("value"))
+    span = F.struct(
+        F.substring(key, 1, 32).alias("traceId"), F.substring(key, 33, 16).alias("spanId"), F.lit("search").alias("name"), F.lit(1).alias("kind"),
+        start.cast("string").alias("startTimeUnixNano"), end.cast("string").alias("endTimeUnixNano"),
+        F.array(text("query_id", F.col("query_id")), text("strategy", F.col("strategy")), text("collection", F.col("collection")), number("latency_ms", F.col("latency_ms"))).alias("attributes"))
+    scope = F.struct(F.array(span).alias("spans"))
+    resource = F.struct(F.array(text("service.name", F.lit(service))).alias("attributes"))
+    return traces.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))

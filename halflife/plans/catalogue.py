@@ -13,12 +13,12 @@ from halflife.engine import Engine
 from halflife.functions import codec
 from halflife.functions import temporal as t
 from halflife.functions import vector as v
-from halflife.operators import drift, evaluate, graph, ivf, quantize, search, trace, writes
+from halflife.operators import drift, erasure, evaluate, graph, ivf, quantize, search, trace, writes
 from halflife.plans import fixtures as fx
 from halflife.plans.fixtures import AT, CONFIG, COS, DAY_MS, L2, LIVE, QS, REASON, TW, E, Q, V
 from halflife.schema import AgentConfig, SearchOptions
 from halflife.sources import json_io
-from halflife.sources.scratch import scratch_path
+from halflife.sources.scratch import scratch_path, stored
 from halflife.sources.tables import Tables
 from halflife.streaming import jobs
 
@@ -494,15 +494,15 @@ def sql_functions(spark, sf_dir):
       hl_is_valid(valid_from, valid_until, {AT}) AS valid FROM halflife_v""")
 
 
-#: The indexes written once a session and table, as an index is, by (application, table, kind).
-_INDEXES: dict = {}
+#: What is written once a session and table, as an index is, by (application, table, kind).
+_WRITTEN: dict = {}
 
 
-def _stored_index(spark, sf_dir, kind: str, build):
+def _written(spark, sf_dir, kind: str, build):
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _INDEXES:
-        _INDEXES[key] = build(fx.vectors(spark, sf_dir), scratch_path(spark, kind))
-    return _INDEXES[key]
+    if key not in _WRITTEN:
+        _WRITTEN[key] = build(fx.vectors(spark, sf_dir), scratch_path(spark, kind))
+    return _WRITTEN[key]
 
 
 def _lists(spark, sf_dir) -> ivf.Stored:
@@ -511,7 +511,7 @@ def _lists(spark, sf_dir) -> ivf.Stored:
         lists = ivf.store(rows, path, 16)
         return ivf.save_probes(spark, lists, ivf.probes_for(lists, rows, ivf.sample_queries(rows), 0.95, AT, CONFIG))
 
-    return _stored_index(spark, sf_dir, "lists", build)
+    return _written(spark, sf_dir, "lists", build)
 
 
 def _codes(spark, sf_dir) -> tuple[quantize.Codebook, str]:
@@ -521,7 +521,7 @@ def _codes(spark, sf_dir) -> tuple[quantize.Codebook, str]:
         quantize.encode(rows, book).write.parquet(path)
         return book, path
 
-    return _stored_index(spark, sf_dir, "codes", build)
+    return _written(spark, sf_dir, "codes", build)
 
 
 @query()
@@ -655,17 +655,26 @@ def pq_memory(spark, sf_dir):
 
 def _engine(spark, sf_dir) -> Engine:
     """A collection filled in two batches and compacted between them; then rows deleted, replaced and given edges."""
-    engine = Engine(spark, scratch_path(spark, "engine"))
-    engine.create_collection("v", dim=64, temporal=CONFIG)
-    rows = fx.vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "embedding", "payload", "created_at", "valid_from", "valid_until")
-    number = F.col("id").cast("long")
-    engine.upsert("v", rows.where(number % 2 == 0), AT)
-    engine.add_edges("v", rows.select(F.col("id").alias("src"), ((number * 7 + 3) % 100).cast("string").alias("tgt"), F.lit("CAUSES").alias("type")))
-    engine.compact("v")
-    engine.upsert("v", rows.where(number % 2 == 1), AT)
-    engine.upsert("v", rows.where(number % 10 == 4).withColumn("created_at", F.col("created_at") - DAY_MS), AT)
-    engine.delete("v", ["1", "2", "no such id"])
-    return engine
+    def build(vectors, path):
+        engine = Engine(spark, path)
+        engine.create_collection("v", dim=64, temporal=CONFIG)
+        rows = vectors.select(F.col("id").cast("string").alias("id"), "embedding", "payload", "created_at", "valid_from", "valid_until")
+        number = F.col("id").cast("long")
+        engine.upsert("v", rows.where(number % 2 == 0), AT)
+        engine.add_edges("v", rows.select(F.col("id").alias("src"), ((number * 7 + 3) % 100).cast("string").alias("tgt"), F.lit("CAUSES").alias("type")))
+        engine.compact("v")
+        engine.upsert("v", rows.where(number % 2 == 1), AT)
+        engine.upsert("v", rows.where(number % 10 == 4).withColumn("created_at", F.col("created_at") - DAY_MS), AT)
+        engine.delete("v", ["1", "2", "no such id"])
+        return engine
+
+    return _written(spark, sf_dir, "engine", build)
+
+
+def build_indexes(spark: SparkSession, sf_dir: str) -> None:
+    """Writes the lists and codes that the index queries read, unless the session has them."""
+    _lists(spark, sf_dir)
+    _codes(spark, sf_dir)
 
 
 ENGINE = f"X AS (SELECT id, e, label, shard, valid_until, CASE WHEN id % 10 = 4 THEN created_at - {DAY_MS} ELSE created_at END AS created_at FROM V WHERE id NOT IN (1, 2))"
@@ -733,6 +742,47 @@ def callback_hosts(spark, sf_dir):
     return fx.read(spark, sf_dir, "pages").select("page_id", codec.host_allowed(F.col("url")).alias("allowed"), codec.host_allowed(F.col("url"), ("a.example",)).alias("listed"))
 
 
+@query("SELECT o_orderkey AS segment_id, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderpriority || o_orderstatus || o_orderkey END AS text, o_orderkey % 5 = 4 AS lost FROM orders")
+def erasure_round_trip(spark, sf_dir):
+    """Four data and two parity shards; as many are lost as the key modulo 5 says, the first ones at most two, or four in all."""
+    text = F.concat("o_orderpriority", "o_orderstatus", F.col("o_orderkey").cast("string"))
+    shards = erasure.encode_segments(fx.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment_id"), text.cast("binary").alias("data")), 4, 2)
+    n = F.col("segment_id") % 5
+    left = shards.where(F.when(n == 4, F.col("shard") >= 4).when(n == 3, ~F.col("shard").isin(1, 4)).otherwise(F.col("shard") >= n))
+    return erasure.decode_segments(left, 4, 2).select("segment_id", F.col("data").cast("string").alias("text"), F.col("error").isNotNull().alias("lost"))
+
+
+@query(f"""WITH {V} SELECT 'exact' AS strategy, 'v' AS collection, count(*) AS n_rows, count(*) FILTER (({LIVE})) AS computed, 'search' AS span, '1706745599990000000' AS began FROM V""")
+def trace_export(spark, sf_dir):
+    one = trace.trace(fx.vectors(spark, sf_dir), None, fx.query(spark, sf_dir), AT, CONFIG, query_id="q", collection="v", latency_ms=10.0)
+    one = stored(one, "trace")
+    got = lambda path: F.get_json_object("value", path)
+    log = trace.trace_json(one, "s", AT).select(got("$.strategy").alias("strategy"), got("$.collection").alias("collection"), got("$.n_rows").cast("long").alias("n_rows"), got("$.distance_computations").cast("long").alias("computed"))
+    span = "$.resourceSpans[0].scopeSpans[0].spans[0]"
+    return log.crossJoin(trace.otlp(one, "s", AT).select(got(f"{span}.name").alias("span"), got(f"{span}.startTimeUnixNano").alias("began")))  # one row each
+
+
+@query("""SELECT unnest(['nodes_healthy', 'nodes_failed', 'durability_nines', 'p_data_loss_year', 'segments_at_risk', 'segments_scrubbed', 'failures']) AS metric, unnest([
+  (SELECT count(*) FILTER (s_suppkey % 5 <> 0) FROM supplier)::DOUBLE, (SELECT count(*) FILTER (s_suppkey % 5 = 0) FROM supplier)::DOUBLE,
+  (SELECT round(2 - log10(sum(exp(lgamma(15) - lgamma(i + 1) - lgamma(15 - i)) * pow(0.004, i) * pow(0.996, 14 - i))), 4) FROM range(5, 15) t(i)),
+  0.0::DOUBLE, (SELECT count(*) FILTER (o_orderkey % 9 = 0) FROM orders)::DOUBLE, (SELECT count(*) FROM orders)::DOUBLE,
+  (SELECT count(*) FROM (SELECT epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) WHERE gap > 86400000)::DOUBLE]) AS value""")
+def health_metrics(spark, sf_dir):
+    nodes = fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") % 5 != 0).alias("healthy"))
+    gauges = evaluate.health_gauges(evaluate.durability_report(nodes, 10, 4, 0.004), scrub_segments(spark, sf_dir), evaluate.heartbeat_gaps(_beats(spark, sf_dir), DAY_MS))
+    return gauges.withColumn("value", F.round("value", 4))
+
+
+@query(f"WITH {_batch_sql(3)} SELECT query_id, rank, id, round(score, 6) AS score FROM T")
+def search_stream(spark, sf_dir):
+    rows = fx.queries(spark, sf_dir).select("query_id", "embedding")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(_stream_parts(rows, 2))
+    path = scratch_path(spark, "out")
+    vectors = fx.vectors(spark, sf_dir)
+    jobs.search_stream(stream, lambda batch: search.batch_search(vectors, batch, AT, CONFIG, SearchOptions(top_k=3)), path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return rounded(spark.read.parquet(path).select("query_id", "rank", "id", "score"), "score")
+
+
 def _stream_parts(rows: DataFrame, parts: int) -> str:
     path = scratch_path(rows.sparkSession, "stream")
     rows.repartition(parts).write.mode("overwrite").parquet(path)

@@ -74,6 +74,14 @@ def upsert_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
+def search_stream(queries: DataFrame, search: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = True):
+    """Answers a stream of queries (query_id, embedding) batch by batch with search(batch), such as Engine.batch_search; a batch's hits are one commit of Parquet."""
+    def answer(batch: DataFrame, number: int) -> None:
+        search(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return upsert_stream(queries, answer, checkpoint, once)
+
+
 def collected(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote, through Parquet; update-mode batches are numbered."""
     if mode == "append":

@@ -10,7 +10,7 @@ from halflife.engine import Engine
 from halflife.functions import codec
 from halflife.functions import temporal as t
 from halflife.functions import vector as v
-from halflife.operators import drift, evaluate, graph, ivf, quantize, search, writes
+from halflife.operators import drift, erasure, evaluate, graph, ivf, quantize, search, writes
 from halflife.schema import DAY_MS, AgentConfig, CollectionConfig, EngineError, SearchOptions, TemporalConfig
 from halflife.sources import json_io
 from halflife.sources.tables import Tables
@@ -360,3 +360,30 @@ def test_checks():
         with pytest.raises(EngineError):
             bad()
     assert CollectionConfig("x", n_shards=0).n_shards == 4
+
+
+def test_erasure():
+    """Products of the field by shift and reduce; every loss of up to two shards of six; too few shards."""
+    def slow(a, b):
+        out = 0
+        while b:
+            out ^= a if b & 1 else 0
+            a = a << 1 ^ (0x11D if a & 128 else 0)
+            b >>= 1
+        return out
+
+    rng = np.random.default_rng(42)
+    a, b = rng.integers(0, 256, (2, 3_000))
+    assert erasure.times(a, b).tolist() == [slow(int(x), int(y)) for x, y in zip(a, b, strict=True)]
+    assert all(erasure.times(x, erasure.inverse(x)) == 1 for x in range(1, 256)) and erasure.to_power(3, 2) == 5 and erasure.to_power(0, 0) == 1
+    data = rng.integers(0, 256, 1_001).astype(np.uint8).tobytes()
+    shards = dict(enumerate(erasure.encode(data, 4, 2)))
+    assert len(shards) == 6 and b"".join(shards[i] for i in range(4))[:1_001] == data
+    for x in range(6):
+        for y in range(6):
+            assert erasure.decode({i: s for i, s in shards.items() if i not in (x, y)}, 4, 2, len(data)) == data
+    with pytest.raises(EngineError):
+        erasure.decode({0: b"a", 1: b"b", 2: b"c"}, 4, 2, 4)
+    large = erasure.encode(data, 10, 4)
+    assert erasure.decode({i: s for i, s in enumerate(large) if i not in (0, 2, 7, 11)}, 10, 4, len(data)) == data
+    assert erasure.decode(dict(enumerate(erasure.encode(b"", 4, 2))), 4, 2, 0) == b""
