@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halflife.llm.common import documents, small_batches, stored, text_hash
+from halflife.llm.common import LOWER, UPPER, documents, small_batches, stored, text_hash
 from halflife.llm.components import components
 from halflife.llm.shingles import node, shingles, words
 
@@ -465,3 +465,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).drop("text_hash")
+
+
+#: All pairs of sets that share a shingle, and the smallest doc_id that links reach.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n u ON a = u.doc_id JOIN n v ON b = v.doc_id WHERE 100 * i >= 85 * (u.n + v.n - i)),
+r(a, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, m FROM r JOIN links USING (a))
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n ON a = n.doc_id GROUP BY a
+"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from halflife.llm.common import documents, small_batches, stored
+from halflife.llm.common import LOWER, UPPER, documents, small_batches, stored
 from halflife.llm.ctw import DEPTH, SPLIT, Table, Tree, entering, pieces, top_passed
 from halflife.llm.shingles import words
 
@@ -233,14 +233,15 @@ def train_top(table: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> tup
 
 
 def weighted_codes(table: DataFrame, top, depth: int = DEPTH, most: int = TOGETHER) -> DataFrame:
-    """(cell, codes, bits): the log2 probability (float) of each code's byte after its context."""
+    """(cell, codes, bits): the code length (float) of each code's byte after its context, negative where the code was learned once."""
     shared = table.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
         sender = _Sender(cell=pa.int32(), codes=pa.binary(), bits=pa.binary())
         for tree in _trees(batches, depth, most):
             bits, _ = tree.mixed(entering(shared.value, tree.codes[0]))
-            for cell, codes, mine in _dealt(tree.codes[-1], bits.astype(np.float32)):
+            bits = np.where(tree.numbers[-1] == 1, bits, -bits).astype(np.float32)  # log2 of a probability is below 0
+            for cell, codes, mine in _dealt(tree.codes[-1], bits):
                 yield from sender.add(cell, _packed(np.diff(codes, prepend=0)), mine.tobytes())
         yield from sender.rest()
 
@@ -248,7 +249,7 @@ def weighted_codes(table: DataFrame, top, depth: int = DEPTH, most: int = TOGETH
 
 
 def code_bits(pairs: DataFrame, weighted: DataFrame, tasks: int) -> DataFrame:
-    """(batch, codes, bits): for each batch its codes' log2 probabilities, a cell in a row."""
+    """(batch, codes, bits): for each batch its codes' numbers of weighted_codes(), a cell in a row."""
     def run(batches):
         now, held, sender = None, [], _Sender(batch=pa.int64(), codes=pa.binary(), bits=pa.binary())
         for cell, row in _by(batches, "cell"):
@@ -269,11 +270,12 @@ def code_bits(pairs: DataFrame, weighted: DataFrame, tasks: int) -> DataFrame:
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """One row for each row of docs: doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, n_once.
 
     score is the log10 probability of the text, A-Z lower-cased, with its end, under context-tree weighting
     of depth bytes (2 at least) learned from the rows that with_fold() gives to training; base_score adds log10((c + 1) / (N + V + 1)) over
-    the tokens, the end included. Null texts are empty: one token, the end. With no training rows counts are 0
+    the tokens, the end included. n_once counts the bytes that training has once after their context, so a text that is nowhere repeated
+    has some of its own where one that occurs twice has none. Null texts are empty: one token, the end. With no training rows counts are 0
     and every byte costs eight bits. Repeated rows count and are scored each; rows without doc_id are scored only.
     The model keeps every context. Parts of the contexts are weighted apart, and the log2 probabilities of a batch's
     codes come back to it by a shuffle; most bounds how many small parts are weighted at a time, and no result.
@@ -317,9 +319,11 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> Da
         frequent = shared.value
         for part, known_bits in slices(batches):
             texts = [(t or "").encode().lower() for t in part.column("text").to_pylist()]
-            bits = np.zeros(len(texts))
+            bits, once = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for codes, owner in pieces(texts, depth):
-                bits += np.bincount(owner, known_bits.get(codes)[0], len(texts))
+                found = known_bits.get(codes)[0]
+                bits -= np.bincount(owner, np.abs(found), len(texts))
+                once += np.bincount(owner[found < 0], minlength=len(texts))
             tokens, known, logs, rare, times = [], [], [], [], []
             for t in texts:
                 seen = Counter(t.split())
@@ -339,11 +343,11 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> Da
                 times.append(rest_times)
             yield _rows([
                 ("doc_id", part.column("doc_id")), ("held_out", part.column("held_out")), ("n_bytes", pa.array([len(t) for t in texts], pa.int64())),
-                ("n_tokens", pa.array(tokens, pa.int64())), ("known", pa.array(known, pa.int64())), ("logs", pa.array(logs, pa.float64())), ("bits", pa.array(bits)),
+                ("n_tokens", pa.array(tokens, pa.int64())), ("known", pa.array(known, pa.int64())), ("logs", pa.array(logs, pa.float64())), ("bits", pa.array(bits)), ("n_once", pa.array(once)),
                 ("rare", pa.array(rare, pa.list_(pa.binary()))), ("times", pa.array(times, pa.list_(pa.int64()))),
             ])
 
-    kind = "doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, logs double, bits double, rare array<binary>, times array<long>"
+    kind = "doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, logs double, bits double, n_once long, rare array<binary>, times array<long>"
     scored = code_bits(pairs, weighted_codes(table, train_top(table, depth, most), depth, most), min(tasks, PARTS * CELLS))
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
     rows = docs.select("batch", "doc_id", "held_out", "text", none("codes", "binary"), none("bits", "binary"))
@@ -356,9 +360,26 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> Da
     return rows.drop("rare", "times").join(added, "row", "left").select(
         "doc_id", "held_out", "n_bytes", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (F.col("bits") * log2).alias("score"), (-F.col("bits") / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        (F.col("bits") * log2).alias("score"), (-F.col("bits") / (F.col("n_bytes") + 1)).alias("bits_per_byte"), "n_once",
     )
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: folds, tokens and the word base."""
+    rows = op1_lm_score(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: CRC-32 bit by bit; the end of a text is the empty word.
+BASE = r"""
+WITH f AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '@upper', '@lower'), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)), xor(h, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 7 = 2 AS held_out FROM documents),
+t AS (SELECT doc_id, held_out, unnest(list_append(w, '')) AS w FROM f),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id
+""".replace("@upper", UPPER).replace("@lower", LOWER)

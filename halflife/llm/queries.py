@@ -15,10 +15,18 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": lines.op10_line_dedup,
+    "lm_base": lmscore.lm_base,
+    "mix_targets": mixing.mix_targets,
+    "quality_counts": quality.quality_counts,
 }
 
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests.
 ORACLE_SQL = {
+    "lm_base": lmscore.BASE,
+    "mix_targets": mixing.TARGETS,
+    "op3_suffix_dedup": repeats.ORACLE,
+    "op4_jaccard_join": jaccard.ORACLE,
+    "quality_counts": quality.COUNTED,
     "op2_license_scan": licenses.ORACLE,
     "op5_arc_to_warc": warc.ORACLE,
     "op10_line_dedup": lines.ORACLE,

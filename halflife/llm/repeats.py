@@ -425,3 +425,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
+
+
+#: Every start of a string of 200 bytes by the hash of its bytes, as hexadecimal digits.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, unnest(range(n - 199)) AS i, unnest(list_transform(range(n - 199), lambda i: hash(substr(h, (2 * i + 1)::BIGINT, 400)))) AS a FROM d WHERE n >= 200),
+k AS (SELECT a FROM s GROUP BY a HAVING count(*) > 1),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 200 THEN 0 ELSE 1 END AS first FROM s SEMI JOIN k USING (a) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+runs AS (SELECT doc_id, run, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs),
+o AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last FROM runs GROUP BY doc_id),
+p AS (SELECT doc_id, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (lo - before))::BIGINT), '' ORDER BY lo) AS kept FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
