@@ -34,6 +34,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.tables = spark, Tables(spark, root)
         self._configs: dict[str, CollectionConfig] = {}
+        self._migrations: dict[str, drift.Migration] = {}
         self._recover()
 
     def _recover(self) -> None:
@@ -154,6 +155,9 @@ class Engine:
             both = old.select("id", "embedding", F.lit(0).alias("created_at"), F.lit(False).alias("new")).unionByName(plain.select("id", "embedding", F.lit(1).alias("created_at"), F.lit(True).alias("new")))
             plain = plain.join(writes.later_rows(both, c.agent.dedup_threshold, F.col("new")), "id", "left_anti")
         number = self._append(name, plain.select(F.lit("UPSERT").alias("op"), F.col("created_at").alias("ts"), F.struct(*plain.columns).alias("vec")))
+        run = self._migrations.get(name)
+        if run and run.phase == "MIGRATING" and "new_embedding" in new.columns:
+            run.add(new.join(plain.select("id"), "id", "left_semi").select("id", F.col("new_embedding").alias("embedding")))
         if "edges" in rows.columns:
             from halflife.sources.json_io import inline_edges
 
@@ -211,6 +215,19 @@ class Engine:
         base = self._base(name)["version"]
         return self.tables.manifests(name).where((F.col("kind") == "index") & (F.col("version") > base)).orderBy(F.desc("version")).first()
 
+    def _strategy(self, name: str, strategy: str | None):
+        """(strategy, index): what is named, or the collection's index_type; exact where there is no index."""
+        c = self.config(name)
+        strategy = strategy or c.index_type
+        if strategy not in (*STRATEGIES, "auto"):
+            raise EngineError(f"unknown strategy {strategy!r}")
+        index = None if strategy == "exact" else self._index(name)
+        if index is None:
+            return "exact", None
+        if strategy == "auto":
+            strategy = search.choose_strategy(self.spark.read.parquet(self._base(name)["path"]).count(), 0.95, c.dim)
+        return strategy, index
+
     def candidates(self, name: str, query: Sequence[float], strategy: str | None = None, options: SearchOptions = SearchOptions(), at: int | None = None, n_probe: int | None = None, factor: int = 20) -> tuple[str, DataFrame]:
         """(strategy used, the rows that a search scores exactly).
 
@@ -218,14 +235,9 @@ class Engine:
         choose_strategy(). What was logged since the index was built is always scored; without an index all rows are.
         """
         c, at = self.config(name), now_ms() if at is None else at
-        strategy = strategy or c.index_type
-        if strategy not in (*STRATEGIES, "auto"):
-            raise EngineError(f"unknown strategy {strategy!r}")
-        index = None if strategy == "exact" else self._index(name)
-        if strategy == "auto" and index is not None:
-            strategy = search.choose_strategy(self.spark.read.parquet(self._base(name)["path"]).count(), 0.95, c.dim)
-        if index is None or strategy == "exact":
-            return "exact", self.vectors(name)
+        strategy, index = self._strategy(name, strategy)
+        if strategy == "exact":
+            return strategy, self.vectors(name)
         lists = ivf.load(self.spark, index["path"])
         rows = ivf.probe(lists.rows(self.spark), lists.centres, query, n_probe or lists.n_probe)
         log = self._changes(name, index["version"])
@@ -254,21 +266,66 @@ class Engine:
     def search_one(self, name: str, query: Sequence[float], at: int | None = None) -> DataFrame:
         return self.search(name, query, SearchOptions(top_k=1), at)
 
-    def batch_search(self, name: str, queries: DataFrame, options: SearchOptions = SearchOptions(), at: int | None = None) -> DataFrame:
-        c = self.config(name)
-        return search.batch_search(self.vectors(name), queries, now_ms() if at is None else at, c.temporal, options, c.metric)
+    def batch_search(self, name: str, queries: DataFrame, options: SearchOptions = SearchOptions(), at: int | None = None, strategy: str | None = None, n_probe: int | None = None, factor: int = 20) -> DataFrame:
+        """The k best rows of each query (query_id, embedding), by the collection's index_type or the strategy named: see candidates()."""
+        c, at = self.config(name), now_ms() if at is None else at
+        strategy, index = self._strategy(name, strategy)
+        options = replace(options, metric=options.metric or c.metric)
+        if strategy == "exact":
+            return search.batch_search(self.vectors(name), queries, at, c.temporal, options)
+        lists, book = ivf.load(self.spark, index["path"]), quantize.Codebook.load(self.spark, f"{index['path']}/book")
+        rows, log = lists.rows(self.spark), self._changes(name, index["version"])
+        if log is not None:
+            new = writes.replay(last_changes(log)).select("vec.*")
+            kept = rows.join(last_changes(log).select("id").distinct(), "id", "left_anti").select(rows.columns)
+            rows = kept.unionByName(ivf.assign(quantize.encode(new, book), lists.centres).select(rows.columns))
+        if strategy == "pq":
+            return quantize.batch_pq_search(rows, book, queries, at, c.temporal, options, factor).drop("approximate")
+        return ivf.batch_ivf_search(rows, lists.centres, queries, n_probe or lists.n_probe, at, c.temporal, options)
 
     def trace(self, name: str, query: Sequence[float], options: SearchOptions = SearchOptions(), at: int | None = None) -> DataFrame:
         c = self.config(name)
         return trace.trace(self.vectors(name), self.edges(name), query, now_ms() if at is None else at, c.temporal, options, collection=name)
 
     def migrate(self, name: str, new_embeddings: DataFrame) -> DataFrame:
-        """Re-embeds the collection as a new version and returns the progress row."""
-        moved = drift.migrate(self.vectors(name), new_embeddings)
-        status = drift.progress(moved)
+        """Re-embeds the collection as a new version in one go and returns the progress row."""
+        self.start_migration(name)
+        self.add_migrated(name, new_embeddings)
+        return self.finish_migration(name)
+
+    def start_migration(self, name: str) -> None:
+        """Begins a migration, one a collection at a time. While it runs, upserted rows with a column new_embedding go to its shadow too."""
+        self.config(name)
+        if name in self._migrations and self._migrations[name].phase == "MIGRATING":
+            raise EngineError(f"a migration of {name!r} is running")
+        self._migrations[name] = drift.Migration(self.vectors(name), f"{self.tables.root}/{name}/_shadow/{uuid.uuid4().hex[:12]}")
+        self._migrations[name].start()
+
+    def _migration(self, name: str) -> drift.Migration:
+        self.config(name)
+        if name not in self._migrations:
+            raise EngineError(f"no migration of {name!r}")
+        self._migrations[name].vectors = self.vectors(name)  # rows that came since the start
+        return self._migrations[name]
+
+    def add_migrated(self, name: str, batch: DataFrame) -> None:
+        self._migration(name).add(batch)
+
+    def migration_status(self, name: str) -> DataFrame:
+        return self._migration(name).status()
+
+    def finish_migration(self, name: str) -> DataFrame:
+        """The new embeddings become the collection's next version; returns the progress row."""
+        run = self._migration(name)
+        moved = run.finish()
+        status = stored(drift.progress(moved), "progress")
         self.tables.write(name, moved.select(*[f.name for f in VECTORS.fields]))
         return status
 
+    def abort_migration(self, name: str) -> None:
+        """The collection stays as it is; the shadow is not read again."""
+        self._migration(name).abort()
+
     def snapshot(self, name: str, at: int | None = None) -> int:
         """A whole version, logged changes included, that later writes do not touch."""
         return self.tables.write(name, self.vectors(name), "snapshot", at)

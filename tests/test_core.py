@@ -275,6 +275,8 @@ def test_engine_follows_its_index(spark, tmp_path):
     for strategy in ("ivf", "pq"):
         hits = [r["id"] for r in e.search("c", q, at=0, strategy=strategy, n_probe=8).collect()]
         assert hits[0] == "new" and hits[1:9] == full[2:10]
+        batch = e.batch_search("c", spark.createDataFrame([(1, q)], "query_id int, embedding array<double>"), at=0, strategy=strategy, n_probe=8)
+        assert [r["id"] for r in batch.orderBy("rank").collect()] == hits
     e.compact("c")
     assert e.candidates("c", q)[0] == "exact"  # the index is older than the table
     with pytest.raises(EngineError):
@@ -321,6 +323,26 @@ def test_drift_phases(spark, tmp_path):
         run.abort()
 
 
+def test_engine_migrates_in_steps(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/db")
+    e.create_collection("c", dim=1)
+    kind = "id string, embedding array<float>, created_at long, new_embedding array<float>"
+    e.upsert("c", spark.createDataFrame([("a", [1.0], 0, None), ("b", [2.0], 0, None)], kind), now=0)
+    with pytest.raises(EngineError):
+        e.migration_status("c")
+    e.start_migration("c")
+    with pytest.raises(EngineError):
+        e.start_migration("c")
+    e.add_migrated("c", spark.createDataFrame([("a", [9.0])], "id string, embedding array<float>"))
+    e.upsert("c", spark.createDataFrame([("d", [4.0], 0, [8.0])], kind), now=0)  # written to both
+    assert tuple(e.migration_status("c").first())[:3] == ("MIGRATING", 3, 2)
+    assert tuple(e.finish_migration("c").first()) == ("COMPLETE", 3, 2, 1, 100.0)
+    assert {(r["id"], r["embedding"][0]) for r in e.vectors("c").collect()} == {("a", 9.0), ("b", 2.0), ("d", 8.0)}
+    e.start_migration("c")
+    e.abort_migration("c")
+    assert e.migration_status("c").first()["phase"] == "FAILED" and e.vectors("c").count() == 3
+
+
 def test_beats_without_ids(spark):
     beats = spark.createDataFrame([("n", 0), ("n", 50), ("n", 50), ("m", 5)], "node_id string, at long")
     assert [tuple(r) for r in evaluate.heartbeat_gaps(beats, 20).collect()] == [("n", 20, 50, 50)]
