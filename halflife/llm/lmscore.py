@@ -285,7 +285,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> Da
     small_batches(docs.sparkSession)
     docs = stored(numbered(with_fold(docs)), "texts", "zstd")
     # As many tasks as batches, so what a task reads does not grow with the corpus.
-    tasks = max(1, docs.select("batch").distinct().count())
+    known = docs.agg(F.count_distinct("batch").alias("n"), F.max(F.shiftright("batch", 32)).alias("task")).first()
+    tasks, writers = max(1, known["n"]), (known["task"] or 0) + 1
     train = docs.where("learn")
     counts = stored(word_counts(train), "words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -352,7 +353,9 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, most: int = TOGETHER) -> Da
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
     rows = docs.select("batch", "doc_id", "held_out", "text", none("codes", "binary"), none("bits", "binary"))
     rows = rows.unionAll(scored.select("batch", none("doc_id", "long"), none("held_out", "boolean"), none("text", "string"), "codes", "bits"))
-    rows = rows.repartition(2 * tasks, "batch").sortWithinPartitions("batch", F.col("codes").isNull()).mapInArrow(run, kind)
+    # The first batches of all tasks that numbered them, then the second ones, each in a partition of its own but for few.
+    place = F.col("batch").bitwiseAND(F.lit(0xFFFFFFFF)) * writers + F.shiftright("batch", 32)
+    rows = rows.repartitionById(2 * tasks, F.pmod(place, F.lit(2 * tasks)).cast("int")).sortWithinPartitions("batch", F.col("codes").isNull()).mapInArrow(run, kind)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # stored, so the numbers stay
     each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     added = each.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"))

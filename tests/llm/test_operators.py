@@ -731,6 +731,12 @@ def test_pages(spark, tmp_path):
     assert got == bag(want)
 
 
+def test_no_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op5_arc_to_warc(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
 def test_meeting_in_two_steps(spark, monkeypatch):
     """Rows that share a key, whatever the batches; copies are one row, and a key's task gets one row a batch."""
     rng = np.random.default_rng(2)
