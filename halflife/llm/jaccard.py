@@ -11,6 +11,8 @@ blocks, so no group meets in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,12 @@ LEADERS = 8
 BROADCAST_IDS = 1_000_000
 #: Up to so many bitmaps (30 MB) are broadcast.
 BROADCAST_BITMAPS = 300_000
+#: Up to so many places of nodes in blocks (32 MB) are broadcast.
+BROADCAST_PLACES = 250_000
+#: Rounds. So many shingles of all sets go to a tile row that gets its bitmap in one round, and to a shingle that is compared
+#: exactly in one round: what a round shuffles is a fraction of the texts, however many documents are alike.
+PER_ROW = 32
+PER_SHINGLE = 4
 
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 
@@ -226,15 +234,30 @@ def bitmaps(docs: DataFrame, ids: DataFrame, width: int, percent: int, seed: int
     return _of_texts(docs, ids, [("node", pa.int64()), ("slices", of_slices)], "node long, slices array<struct<slice: long, bits: binary>>", columns)
 
 
-def arrays(docs: DataFrame, ids: DataFrame, width: int, seed: int) -> DataFrame:
-    """(node, size, bits, set) of the documents in ids: the sorted shingle arrays, 8 bytes an element."""
-    schema = [("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("set", pa.binary())]
+def arrays(docs: DataFrame, places: DataFrame, repeated: bool, width: int, seed: int) -> DataFrame:
+    """(cluster, block, side, node, size, bits, set) of places (node, doc_id, cluster, block, side): the sorted shingle arrays, 8 bytes an element.
 
-    def columns(found):
-        sets = [shingles(w, width) for w in found]
-        return [[node(s, seed)[0] for s in sets], [len(s) for s in sets], [bitmap(s) for s in sets], [s.tobytes() for s in sets]]
+    Places find their texts, so an array is shuffled to its blocks only.
+    """
+    schema = [("size", pa.int64()), ("bits", pa.binary()), ("set", pa.binary())]
 
-    return _of_texts(docs, ids, schema, "node long, size long, bits binary, set binary", columns)
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                sets = [shingles(words(t), width) for t in part.column("text").to_pylist()]
+                own = pa.array([node(s, seed)[0] == n for s, n in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
+                made = _out(schema, [[len(s) for s in sets], [bitmap(s) for s in sets], [s.tobytes() for s in sets]])
+                kept = ["node", "cluster", "places"]
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made.columns], [*kept, *made.schema.names])
+                yield out.filter(own)
+
+    few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+    dealt = places.groupBy("doc_id", "node", "cluster").agg(F.collect_list(F.struct("block", "side")).alias("places"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(dealt) if few else dealt, "doc_id").select("text", "node", "cluster", "places")
+    known = texts.mapInArrow(run, "node long, cluster long, places array<struct<block: int, side: int>>, size long, bits binary, set binary")
+    known = known.dropDuplicates(["node"]) if repeated else known
+    return known.select("cluster", "node", "size", "bits", "set", F.inline("places"))
 
 
 def _bits(column) -> np.ndarray:
@@ -258,10 +281,10 @@ def _groups(batches, n_keys: int):
         yield pa.concat_tables([p for _, p in held])
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
+def candidates(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """(u, v): for each size-banded tile edges that span what the bitmaps let through.
 
-    rows has tile, band, node, size and bits. Tiles of over TILE rows are cut into blocks that meet in pairs; with over
+    rows has tile, band, node, size and slice, bits the bitmap of each node and slice. Tiles of over TILE rows are cut into blocks that meet in pairs; with over
     PAIRED blocks, a group of near copies as a rule, nodes that leaders join already do not meet again.
     """
     schema = [("u", pa.int64()), ("v", pa.int64())]
@@ -314,6 +337,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     # side 2: a block with itself; 0 and 1: the two blocks of a pair.
     alone = F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")
     large = stored(rows.groupBy("tile", "band").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "tiles")
+    rows = rows.join(bits, ["node", "slice"])
     if not large.limit(1).count():
         return met(rows.select("*", *alone))
     small = met(rows.join(large, ["tile", "band"], "left_anti").select("*", *alone))
@@ -383,6 +407,27 @@ def verify(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.select(columns).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "side").mapInArrow(run, "u long, v long")
 
 
+def _union(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, found)
+
+
+def guesses(rows: DataFrame, bits: DataFrame, whole: int, percent: int) -> DataFrame:
+    """candidates() of all tiles, in rounds of whole tiles: bitmaps are much larger than tile rows, and near copies have all their tiles in common."""
+    rounds = max(1, -(-PER_ROW * rows.count() // max(1, whole)))
+    if rounds == 1:
+        return candidates(rows, bits, percent)
+    turn = F.pmod(F.xxhash64("tile"), F.lit(rounds))
+    return _union([stored(candidates(rows.where(turn == r), bits, percent).distinct(), "guesses") for r in range(rounds)])
+
+
+def compared(docs: DataFrame, places: DataFrame, repeated: bool, whole: int, width: int, percent: int, seed: int) -> DataFrame:
+    """verify() of all places, in rounds of whole blocks. Only places are stored: arrays are made anew from the texts for each round."""
+    places = stored(places.select("node", "doc_id", "size", "cluster", F.col("block").cast("int").alias("block"), F.col("side").cast("int").alias("side")), "places")
+    rounds = max(1, -(-PER_SHINGLE * (places.agg(F.sum("size")).first()[0] or 0) // max(1, whole)))
+    turn = F.pmod(F.xxhash64("cluster", "block"), F.lit(rounds))
+    return _union([stored(verify(arrays(docs, places.where(turn == r), repeated, width, seed), percent), "links") for r in range(rounds)])
+
+
 def links(docs: DataFrame, nodes: DataFrame, repeated: bool, rank, width: int, percent: int, seed: int) -> DataFrame:
     """(u, v) between nodes: edges that have the components of all links, each of them a link or implied by links.
 
@@ -393,20 +438,14 @@ def links(docs: DataFrame, nodes: DataFrame, repeated: bool, rank, width: int, p
     bits = bitmaps(docs, ids.select("doc_id").distinct(), width, percent, seed)
     bits = stored((bits.dropDuplicates(["node"]) if repeated else bits).select("node", F.inline("slices")), "bitmaps")
     small = bits.limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS
-    guess = candidates(rows.join(F.broadcast(bits) if small else bits, ["node", "slice"]), percent)
-    clusters = stored(components(guess).withColumnRenamed("root", "cluster"), "clusters")
-    members = ids.join(clusters, "node")
+    whole = nodes.agg(F.sum("size")).first()[0] or 0
+    clusters = components(guesses(rows, F.broadcast(bits) if small else bits, whole, percent)).withColumnRenamed("root", "cluster")
     # Only what bitmaps could not tell apart is compared exactly, so only its arrays are made.
-    known = arrays(docs, members.select("doc_id").distinct(), width, seed)
-    known = known.dropDuplicates(["node"]) if repeated else known
-    few = clusters.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    members = stored(ids.join(clusters, "node"), "members")
     # A cluster's blocks hold BLOCK nodes and BLOCK_ITEMS shingles or so.
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_ITEMS))).cast("int")
     large = stored(members.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
-    members = known.join(F.broadcast(clusters) if few else clusters, "node")
-    if large.limit(1).count():
-        members = stored(members, "members")
-    found = stored(verify(members.join(large, "cluster", "left_anti").select("*", F.lit(0).alias("block"), F.lit(0).alias("side")), percent), "links")
+    found = compared(docs, members.join(large, "cluster", "left_anti").select("*", F.lit(0).alias("block"), F.lit(0).alias("side")), repeated, whole, width, percent, seed)
     if not large.limit(1).count():
         return found
     # Large clusters: blocks that all see the same few leaders join most nodes; what stays outside a cluster's
@@ -415,7 +454,7 @@ def links(docs: DataFrame, nodes: DataFrame, repeated: bool, rank, width: int, p
     leaders = wide.groupBy("cluster", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(LEADERS)).alias("turn")).agg(F.min("node").alias("node")).select("node")
     lead = wide.join(leaders, "node", "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
     own = wide.select("*", F.col("own").alias("block"), F.lit(0).alias("side"))
-    first = stored(verify(own.unionByName(lead.where("block <> own")), percent), "links")
+    first = compared(docs, own.unionByName(lead.where("block <> own")), repeated, whole, width, percent, seed)
     parts = stored(wide.select("cluster", "node", "size").join(components(first), "node", "left").select("cluster", "node", "size", F.coalesce("root", "node").alias("part")), "parts")
     biggest = parts.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("part"))
     outside = stored(parts.join(biggest, ["cluster", "part"], "left_anti"), "outside")
@@ -426,7 +465,7 @@ def links(docs: DataFrame, nodes: DataFrame, repeated: bool, rank, width: int, p
     rest = rest.withColumn("block", F.col("other") * F.col("turns") + F.col("turn"))
     against = meet.select("*", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(1).alias("side"))
     against = against.withColumn("block", F.col("own") * F.col("turns") + F.col("turn"))
-    second = stored(verify(rest.select(against.columns).unionByName(against), percent), "links")
+    second = compared(docs, rest.select(against.columns).unionByName(against), repeated, whole, width, percent, seed)
     return found.unionAll(first).unionAll(second)
 
 
