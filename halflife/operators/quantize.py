@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from halflife.functions import temporal as t
 from halflife.functions import vector as v
 from halflife.functions.codec import payload_filter
-from halflife.operators.search import at_least_kth, live, matrix_of, over_queries, ranked, similarities, top_per_query
+from halflife.operators.search import Similarity, live, matrix_of, over_queries, ranked, top_per_query
 from halflife.schema import EngineError, SearchOptions, TemporalConfig
 
 #: Codebooks are fitted on so many rows at most, those with the smallest hashes; every row gets a code.
@@ -141,6 +141,37 @@ def pq_rescored(coded: DataFrame, book: Codebook, query: Sequence[float], at: in
     return ranked(exact, options.top_k).select("rank", "id", "score", "vector_score", "temporal_score", F.lit(False).alias("approximate"))
 
 
+@dataclass(frozen=True)
+class ByCode(Similarity):
+    """Rows (embedding, code, w) by the distance of a query to their codes; the score of their vectors goes along."""
+
+    book: Codebook
+
+    def prepare(self, block: pa.Table, dim: int) -> dict[str, np.ndarray]:
+        return super().prepare(block, dim) | {"code": matrix_of(block.column("code"), self.book.subspaces).astype(np.int64)}
+
+    def _by_code(self, near: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (1 - self.share) * near + self.share * w
+
+    def about(self, q: np.ndarray, rows: dict) -> tuple[np.ndarray, float]:
+        out = np.empty((len(q), len(rows["w"])))
+        for i, x in enumerate(q):
+            table, d = self.book.table(x), np.zeros(out.shape[1])
+            for m in range(self.book.subspaces):
+                d += table[m].take(rows["code"][:, m])
+            out[i] = self._by_code(1 / (1 + d), rows["w"])
+        return out, 0.0
+
+    def exactly(self, q: np.ndarray, rows: dict, row: np.ndarray, col: np.ndarray) -> list[np.ndarray]:
+        d, starts = np.zeros(len(row)), np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        for lo, hi in zip(starts, [*starts[1:], len(row)], strict=True):
+            table, codes = self.book.table(q[row[lo]]), rows["code"][col[lo:hi]]
+            for m in range(self.book.subspaces):
+                d[lo:hi] += table[m].take(codes[:, m])
+        near = 1 / (1 + d)
+        return [self._by_code(near, rows["w"][col]), near, *super().exactly(q, rows, row, col)]
+
+
 def batch_pq_search(coded: DataFrame, book: Codebook, queries: DataFrame, at: int, config: TemporalConfig, options: SearchOptions = SearchOptions(), factor: int = 0) -> DataFrame:
     """pq_search, or with a factor pq_rescored, for many queries (query_id, embedding): (query_id, rank, id, score, vector_score, temporal_score, approximate)."""
     share = config.blend if options.blend is None else options.blend
@@ -149,20 +180,8 @@ def batch_pq_search(coded: DataFrame, book: Codebook, queries: DataFrame, at: in
         rows = rows.where(payload_filter(options.filter))
     rows = rows.select("id", "embedding", "code", t.temporal_weight("created_at", at, config.half_life_ms).alias("w")).where(t.passes_cutoff(F.col("w"), config.cutoff))
     pool = max(1, factor) * options.top_k
-    names = ["query_id", "id", "by_code", "near", "score", "vector_score", "temporal_score"]
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {coded.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names[2:])
-
-    def best(ids, q, b):
-        codes = matrix_of(b.column("code"), book.subspaces).astype(np.int64)
-        d = np.stack([book.table(x)[np.arange(book.subspaces), codes].sum(axis=1) for x in q])
-        near, w = 1 / (1 + d), b.column("w").to_numpy()
-        by_code = (1 - share) * near + share * w[None]
-        row, col = at_least_kth(by_code, pool)
-        sim = similarities(q, matrix_of(b.column("embedding"), q.shape[1]), options.metric or "cosine", options.score_space)
-        score = (1 - share) * sim + share * w[None]
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), b.column("id").take(pa.array(col)), *(pa.array(a[row, col]) for a in (by_code, near, score, sim)), pa.array(w[col])], names)
-
-    found = top_per_query(over_queries(rows, queries, best, schema), pool, "by_code").drop("rank")
+    method = ByCode(options.metric or "cosine", options.score_space, share, book)
+    found = top_per_query(over_queries(rows, queries, pool, method, ["by_code", "near", "score", "vector_score", "temporal_score"]), pool, "by_code").drop("rank")
     if factor:
         return top_per_query(found, options.top_k).select("query_id", "rank", "id", "score", "vector_score", "temporal_score", F.lit(False).alias("approximate"))
     return top_per_query(found, options.top_k, "by_code").select("query_id", "rank", "id", F.col("by_code").alias("score"), F.col("near").alias("vector_score"), "temporal_score", F.lit(True).alias("approximate"))
