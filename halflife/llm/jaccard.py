@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from halflife.llm.common import LOWER, UPPER, documents, small_batches, stored, text_hash
 from halflife.llm.components import components
-from halflife.llm.shingles import node, shingles, words
+from halflife.llm.shingles import node, shingle_sets
 
 WIDTH = 4
 PERCENT = 85
@@ -75,7 +75,10 @@ def bitmap(s: np.ndarray) -> bytes:
 def prefix(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which two sets that reach the threshold share at least one."""
     n = len(s) - (percent * len(s) + 99) // 100 + 1
-    return s[np.lexsort((s, rank[_buckets(s)]))[:n]]
+    order = rank[_buckets(s)].astype(np.int64) << 32 | np.arange(len(s))  # s is sorted, so its places order equal ranks
+    if n < len(s):
+        order = np.partition(order, n - 1)[:n]
+    return s[order & 0xFFFFFFFF]
 
 
 def slices(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
@@ -139,7 +142,7 @@ def describe(docs: DataFrame, width: int, seed: int = 0) -> tuple[DataFrame, np.
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for texts in _texts(batches, 3):
-            sets = [shingles(words(t), width) for _, t, _ in texts]
+            sets = shingle_sets([t for _, t, _ in texts], width)
             counts += np.bincount(_buckets(np.concatenate(sets)), minlength=len(counts))
             names = [node(s, seed) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
@@ -171,8 +174,7 @@ def tile_rows(docs: DataFrame, rank, width: int, percent: int, seed: int) -> Dat
         rank, seen = shared.value, set()
         for texts in _texts(batches, 1):
             out = []
-            for (t,) in texts:
-                s = shingles(words(t), width)
+            for s in shingle_sets([t for (t,) in texts], width):
                 if len(s) and (name := node(s, seed)[0]) not in seen:
                     seen.add(name)
                     for n, c, part in slices(s, percent):
@@ -215,10 +217,10 @@ def chosen_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _of_texts(docs: DataFrame, ids: DataFrame, schema, kind: str, columns) -> DataFrame:
-    """columns(sets) of the documents in ids, a list of texts at a time."""
+    """columns(texts) of the documents in ids, a list of texts at a time."""
     def run(batches):
         for texts in _texts(batches, 1):
-            yield _out(schema, columns([words(t) for (t,) in texts]))
+            yield _out(schema, columns([t for (t,) in texts]))
 
     return chosen_docs(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, kind)
 
@@ -228,7 +230,7 @@ def bitmaps(docs: DataFrame, ids: DataFrame, width: int, percent: int, seed: int
     of_slices = pa.list_(pa.struct([("slice", pa.int64()), ("bits", pa.binary())]))
 
     def columns(found):
-        sets = [shingles(w, width) for w in found]
+        sets = shingle_sets(found, width)
         return [[node(s, seed)[0] for s in sets], [[{"slice": n + c, "bits": bitmap(p)} for n, c, p in slices(s, percent)] for s in sets]]
 
     return _of_texts(docs, ids, [("node", pa.int64()), ("slices", of_slices)], "node long, slices array<struct<slice: long, bits: binary>>", columns)
@@ -245,7 +247,7 @@ def arrays(docs: DataFrame, places: DataFrame, repeated: bool, width: int, seed:
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
-                sets = [shingles(words(t), width) for t in part.column("text").to_pylist()]
+                sets = shingle_sets(part.column("text").to_pylist(), width)
                 own = pa.array([node(s, seed)[0] == n for s, n in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
                 made = _out(schema, [[len(s) for s in sets], [bitmap(s) for s in sets], [s.tobytes() for s in sets]])
                 kept = ["node", "cluster", "places"]
