@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,11 +14,22 @@ from pyspark.sql import functions as F
 from halflife.functions import temporal as t
 from halflife.functions import vector as v
 from halflife.functions.codec import payload_filter
-from halflife.operators.search import Similarity, live, matrix_of, over_queries, ranked, top_per_query
+from halflife.operators.search import Similarity, batch_similarities, live, matrix_of, over_queries, ranked, top_per_query
 from halflife.schema import EngineError, SearchOptions, TemporalConfig
+from halflife.sources.scratch import stored
 
 #: Codebooks are fitted on so many rows at most, those with the smallest hashes; every row gets a code.
 SAMPLE_ROWS = 50_000
+#: Rows whose distances to all centres are made at once.
+PIECE = 4_096
+#: Rows that a task encodes where codes are stored.
+TASK_ROWS = 25_000
+#: Centroids of a part at most.
+MOST_CENTROIDS = 16_384
+
+
+def _pieces(x: np.ndarray) -> list[np.ndarray]:
+    return [x[at : at + PIECE] for at in range(0, max(1, len(x)), PIECE)]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarray:
@@ -25,9 +37,9 @@ def k_means(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarr
     k = min(k, len(x))
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]).argmin(1)
-        sums, n = np.zeros_like(centres), np.bincount(near, minlength=k)
-        np.add.at(sums, near, x)
+        size = (centres * centres).sum(1)[None]
+        near = np.concatenate([((p * p).sum(1)[:, None] - 2 * p @ centres.T + size).argmin(1) for p in _pieces(x)])
+        sums, n = np.stack([np.bincount(near, weights=part, minlength=k) for part in x.T], axis=1), np.bincount(near, minlength=k)
         moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         if np.allclose(moved, centres):
             break
@@ -58,8 +70,16 @@ class Codebook:
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """The nearest centre of each part, the lowest number of equals."""
-        parts = x.reshape(len(x), self.subspaces, -1)
-        return np.stack([((parts[:, m, None] - self.centres[m][None]) ** 2).sum(2).argmin(1) for m in range(self.subspaces)], axis=1)
+        return np.concatenate([self._encode(p) for p in _pieces(x)])
+
+    def _encode(self, x: np.ndarray) -> np.ndarray:
+        parts, out = x.reshape(len(x), self.subspaces, -1), np.empty((len(x), self.subspaces), np.int64)
+        for m, centre in enumerate(self.centres):
+            d = np.zeros((len(x), len(centre)))
+            for i in range(centre.shape[1]):
+                d += (parts[:, m, i, None] - centre[None, :, i]) ** 2
+            out[:, m] = d.argmin(1)
+        return out
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(m, c, [float(x) for x in self.centres[m, c]]) for m in range(self.subspaces) for c in range(self.centres.shape[1])]
@@ -78,8 +98,31 @@ def train(vectors: DataFrame, subspaces: int, centroids: int = 256, rounds: int
         raise EngineError("a codebook needs at least one vector")
     if x.shape[1] % subspaces:
         raise EngineError(f"{subspaces} subspaces do not divide dimension {x.shape[1]}")
-    parts = x.reshape(len(x), subspaces, -1)
-    return Codebook(np.stack([k_means(parts[:, m], centroids, rounds) for m in range(subspaces)]))
+    sc = vectors.sparkSession.sparkContext
+    shared = sc.broadcast(x.reshape(len(x), subspaces, -1))  # sample_rows rows; the parts are fitted by a task each
+    return Codebook(np.stack(sc.parallelize(range(subspaces), subspaces).map(lambda m: k_means(np.ascontiguousarray(shared.value[:, m]), centroids, rounds)).collect()))
+
+
+def store(vectors: DataFrame, queries: DataFrame, path: str, subspaces: int, centroids: int, recall: float, at: int, config: TemporalConfig, k: int = 10) -> tuple[Codebook, str]:
+    """The codebook, and the folder of vectors with their codes: the fewest codes from these on that find this mean share of the k best rows of queries.
+
+    The denser a table, the finer its codes must be. What the exact search with the similarity that codes approximate finds is
+    made once; subspaces are doubled as far as the dimension lets, then a part gets four times the centroids.
+    """
+    spark, dim = vectors.sparkSession, vectors.select(F.max(F.size("embedding"))).first()[0]
+    rows = vectors.repartition(max(1, vectors.count() // TASK_ROWS), "id")
+    truth = stored(batch_similarities(vectors, queries, k, at, config, SearchOptions(top_k=k), "l2_squared").select("query_id", "id"), "truth")
+    for n in itertools.count():
+        book, out = train(vectors, subspaces, centroids), f"{path}/{n}"
+        encode(rows, book).write.parquet(out)
+        found = batch_pq_search(spark.read.parquet(out), book, queries, at, config, SearchOptions(top_k=k))
+        hits, wanted = found.select("query_id", "id").join(truth, ["query_id", "id"]).count(), truth.count()
+        if hits >= recall * wanted or (subspaces == dim and centroids >= MOST_CENTROIDS):
+            return book, out
+        if dim % (2 * subspaces) == 0:
+            subspaces *= 2
+        else:
+            subspaces, centroids = (dim, centroids) if subspaces < dim else (dim, 4 * centroids)
 
 
 def encode(vectors: DataFrame, book: Codebook) -> DataFrame:
