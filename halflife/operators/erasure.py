@@ -10,6 +10,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from halflife.schema import EngineError
 
 #: Fixed value: the field's polynomial, x^8 + x^4 + x^3 + x^2 + 1.
 POLYNOMIAL = 0x11D
+#: Bytes of segments that are coded together.
+BYTES = 16_000_000
 
 
 @functools.cache
@@ -86,14 +89,48 @@ def decode(shards: dict[int, bytes], k: int, m: int, n_bytes: int) -> bytes:
     return solve(coefficients(k, m)[have], x).tobytes()[:n_bytes]
 
 
+def _product(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """matrix times x (segments, parts, bytes), by a table of 256 products for each factor."""
+    out, every = np.zeros((len(x), len(matrix), x.shape[2]), np.uint8), np.arange(256)
+    for r, row in enumerate(matrix):
+        for c, f in enumerate(row):
+            if f:
+                out[:, r] ^= x[:, c] if f == 1 else times(f, every)[x[:, c]]
+    return out
+
+
+def _stacked(parts: list[bytes], size: int, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts) // k, k, size)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _runs(keys: np.ndarray, size: int):
+    """Places of equal rows of keys, so many at a time that size bytes of each make BYTES at most."""
+    _, group = np.unique(keys, axis=0, return_inverse=True)
+    order = np.argsort(group.ravel(), kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(group.ravel()[order])) + 1):
+        step = max(1, BYTES // max(1, size))
+        yield from (run[at : at + step] for at in range(0, len(run), step))
+
+
 def encode_segments(segments: DataFrame, k: int, m: int) -> DataFrame:
-    """(segment_id, n_bytes, shard, bytes) of (segment_id, data)."""
+    """(segment_id, n_bytes, shard, bytes) of (segment_id, data). Segments of one length are coded together."""
     def run(batches):
         for b in batches:
-            for key, data in zip(b.column("segment_id"), b.column("data"), strict=True):
-                made = encode(data.as_py(), k, m)
-                n = len(made)
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, key.type), pa.array([len(data.as_py())] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(made, pa.binary())],
+            if not len(b):
+                continue
+            data, n = b.column("data").to_pylist(), k + m
+            lengths = np.array([len(d) for d in data])
+            for at in _runs(lengths[:, None], int(lengths.max()) * 2):
+                length = int(lengths[at[0]])
+                size = -(-length // k)
+                x = _stacked([data[i].ljust(size * k, b"\0")[c * size : (c + 1) * size] for i in at for c in range(k)], size, k)
+                made = np.concatenate([x, _product(coefficients(k, m)[k:], x)], axis=1).reshape(len(at) * n, size)
+                yield pa.RecordBatch.from_arrays([b.column("segment_id").take(pa.array(np.repeat(at, n))), pa.array(np.full(len(at) * n, length), pa.int64()), pa.array(np.tile(np.arange(n), len(at)), pa.int32()), _binary(made)],
                                                  ["segment_id", "n_bytes", "shard", "bytes"])
 
     kind = segments.schema["segment_id"].dataType.simpleString()
@@ -101,19 +138,45 @@ def encode_segments(segments: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def decode_segments(shards: DataFrame, k: int, m: int) -> DataFrame:
-    """(segment_id, data, error) of what is left of encode_segments(); data is null where too few shards are left."""
+    """(segment_id, data, error) of what is left of encode_segments(); data is null where too few shards are left. Segments of one length with the same shards are solved together."""
     held = shards.groupBy("segment_id", "n_bytes").agg(F.collect_list(F.struct("shard", "bytes")).alias("shards"))
 
     def run(batches):
         for b in batches:
-            out, errors = [], []
-            for n, found in zip(b.column("n_bytes").to_pylist(), b.column("shards").to_pylist(), strict=True):
+            if not len(b):
+                continue
+            lists, keys, n_bytes = b.column("shards"), b.column("segment_id"), b.column("n_bytes").to_numpy()
+            shard, parts = (lists.flatten().field(i) for i in (0, 1))
+            shard, parts = shard.to_numpy(), parts.to_pylist()
+            row = np.repeat(np.arange(len(b)), pc.list_value_length(lists).to_numpy())
+            order = np.lexsort((shard, row))
+            order = order[np.r_[(row[order][1:] != row[order][:-1]) | (shard[order][1:] != shard[order][:-1]), np.ones(min(1, len(order)), bool)]]  # of a shard twice the last
+            found = np.bincount(row[order], minlength=len(b))
+            begins = np.cumsum(found) - found
+            place = np.arange(len(order)) - begins[row[order]]
+            few = np.flatnonzero(found < k)
+            if len(few):
+                yield _decoded(keys, few, pa.nulls(len(few), pa.binary()), [f"{n} of {k} shards" for n in found[few]])
+            whole = np.flatnonzero(found >= k)
+            if not len(whole):
+                continue
+            chosen = order[(place < k) & (found[row[order]] >= k)].reshape(len(whole), k)
+            for at in _runs(np.column_stack([n_bytes[whole], shard[chosen]]), int(n_bytes.max()) * 2):
+                have, length = shard[chosen[at[0]]], int(n_bytes[whole[at[0]]])
+                own = [parts[i] for i in chosen[at].ravel()]
+                size = len(own[0])
+                if any(len(x) != size for x in own):
+                    raise ValueError("shards of one segment length differ in length")
                 try:
-                    out.append(decode({x["shard"]: x["bytes"] for x in found}, k, m, n))
-                    errors.append(None)
+                    back = solve(coefficients(k, m)[have], np.eye(k, dtype=np.uint8))
                 except EngineError as e:
-                    out.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column("segment_id"), pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["segment_id", "data", "error"])
+                    yield _decoded(keys, whole[at], pa.nulls(len(at), pa.binary()), [str(e)] * len(at))
+                    continue
+                made = _product(back, _stacked(own, size, k)).reshape(len(at), k * size)[:, :length]
+                yield _decoded(keys, whole[at], _binary(made), [None] * len(at))
 
     return held.mapInArrow(run, f"segment_id {shards.schema['segment_id'].dataType.simpleString()}, data binary, error string")
+
+
+def _decoded(keys: pa.Array, at: np.ndarray, data: pa.Array, errors: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), data, pa.array(errors, pa.string())], ["segment_id", "data", "error"])
