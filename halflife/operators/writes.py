@@ -14,9 +14,14 @@ from halflife.operators.search import matrix_of
 from halflife.schema import AgentConfig
 from halflife.sources.scratch import stored
 
-#: Rows of a block of near_pairs(), and clusters at most.
-BLOCK = 2_048
+#: Rows of a block of near_pairs() and numbers of its vectors at most: what is shuffled is each row once a block. Rows of a cluster, and clusters at most.
+BLOCK = 32_768
+BLOCK_FLOATS = 2_000_000
+CLUSTER = 2_048
 CENTRES = 256
+#: Scores that are made at once (8 MB). Clusters go unused where a row of a sample has to visit more than this share of them.
+TILE_SCORES = 1_000_000
+VISITED = 0.5
 
 
 def with_defaults(rows: DataFrame, now: Column | int) -> DataFrame:
@@ -78,13 +83,19 @@ def _unit(embedding: pa.Array, dim: int) -> np.ndarray:
     return x / np.where(n < v.TINY, 1.0, n)[:, None]
 
 
-def _clustered(vectors: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """vectors with cluster, the nearest of about n / BLOCK unit centres, and gap, the distance to it; and the centres."""
+def _clustered(vectors: DataFrame, n: int, reach: float) -> tuple[DataFrame, np.ndarray]:
+    """vectors with cluster, the nearest of about n / CLUSTER unit centres, and gap, the distance to it; and the centres. One cluster where more rule nothing out."""
     centres = np.zeros((1, 0))
-    if n > BLOCK:
+    rows = min(BLOCK, CLUSTER)
+    if n > rows:
         x = sample_matrix(vectors)
         x /= np.maximum(np.sqrt((x * x).sum(axis=1)), v.TINY)[:, None]
-        centres = k_means(x, min(CENTRES, -(-n // BLOCK)), 10)
+        centres = k_means(x, min(CENTRES, -(-n // rows)), 10)
+        d = _distances(x[:1_000], centres)
+        far = np.full(len(centres), -np.inf)
+        np.maximum.at(far, d.argmin(axis=1), d.min(axis=1))
+        if (d <= far[None] + reach).mean() > VISITED:
+            centres = np.zeros((1, 0))
     shared = vectors.sparkSession.sparkContext.broadcast(centres)  # CENTRES rows at most
 
     def run(e: pa.Array) -> pa.Array:
@@ -104,14 +115,15 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _near(vectors: DataFrame, threshold: float, probes: Column | None, schema: str, out) -> DataFrame:
     """out(ids of the probes, ids of the earlier rows, scores) of every block of rows that meet; see near_pairs()."""
     rows = vectors.select("id", "created_at", "embedding", (F.lit(True) if probes is None else probes).alias("probe"))
-    n = rows.count()
-    dealt, centres = _clustered(rows, n)
-    dealt = stored(dealt, "clustered")
-    sizes = {r["cluster"]: (r["n"], r["gap"]) for r in dealt.groupBy("cluster").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()}  # CENTRES rows
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     # Unit vectors of that similarity are no farther apart than this; the zero vector has similarity 0.5 to all.
     reach = (4.0 * (1.0 - threshold)) ** 0.5 + 1e-9 if threshold > 0.5 else float("inf")
+    block = max(1, min(BLOCK, BLOCK_FLOATS // max(1, size["dim"] or 1)))
+    dealt, centres = _clustered(rows, size["n"], reach)
+    dealt = stored(dealt, "clustered")
+    sizes = {r["cluster"]: (r["n"], r["gap"]) for r in dealt.groupBy("cluster").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()}  # CENTRES rows
     far = np.array([sizes.get(c, (0, -np.inf))[1] for c in range(len(centres))]) + reach
-    member_blocks = {c: -(-k // BLOCK) for c, (k, _) in sizes.items()}
+    member_blocks = {c: -(-k // block) for c, (k, _) in sizes.items()}
     shared = vectors.sparkSession.sparkContext.broadcast((centres, far))
 
     def visited(e: pa.Array) -> pa.Array:
@@ -123,7 +135,7 @@ def _near(vectors: DataFrame, threshold: float, probes: Column | None, schema: s
 
     columns = ["id", "created_at", "embedding"]
     probing = dealt.where("probe").select(*columns, F.explode(F.arrow_udf(visited, "array<int>")(F.col("embedding"))).alias("cluster"))
-    probe_blocks = {r["cluster"]: -(-r["n"] // BLOCK) for r in probing.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    probe_blocks = {r["cluster"]: -(-r["n"] // block) for r in probing.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     count = lambda held: F.coalesce(F.get(F.array(*[F.lit(max(1, held.get(c, 1))) for c in range(len(centres))]), F.col("cluster")), F.lit(1))
     own = lambda held: F.pmod(F.xxhash64("id"), count(held)).cast("int")
     every = lambda held: F.explode(F.sequence(F.lit(0), count(held) - 1))
@@ -158,11 +170,14 @@ def _near(vectors: DataFrame, threshold: float, probes: Column | None, schema: s
                 rank[i], last = rank[last] if same else n, i
             e = g.column("embedding").chunk(0)
             x = _unit(e, len(e.flatten()) // len(e))
-            score = (x[p] @ x[m].T + 1) / 2
-            score[rank[m][None] >= rank[p][:, None]] = -1
-            row, col = np.nonzero(score >= threshold)
-            if len(row):
-                yield out(g.column("id").chunk(0), p[row], m[col], score[row, col])
+            members, step = np.ascontiguousarray(x[m].T), max(1, TILE_SCORES // len(m))
+            for at in range(0, len(p), step):
+                some = p[at : at + step]
+                score = (x[some] @ members + 1) / 2
+                score[rank[m][None] >= rank[some][:, None]] = -1
+                row, col = np.nonzero(score >= threshold)
+                if len(row):
+                    yield out(g.column("id").chunk(0), some[row], m[col], score[row, col])
 
     return left.unionAll(right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side").mapInArrow(run, schema)
 
@@ -170,7 +185,7 @@ def _near(vectors: DataFrame, threshold: float, probes: Column | None, schema: s
 def near_pairs(vectors: DataFrame, threshold: float, probes: Column | None = None) -> DataFrame:
     """(a, b, score) of rows whose unit-space cosine reaches the threshold; a is the earlier row by (created_at, id). With probes, b is one of the rows it marks.
 
-    Exact, by matrix products of blocks of BLOCK rows. Rows lie in the cluster of their nearest centre; a row meets the
+    Exact, by matrix products of blocks of BLOCK rows at most, a tile of scores at a time. Rows lie in the cluster of their nearest centre; a row meets the
     blocks of every cluster that the triangle inequality does not rule out: those whose centre is no farther than the
     cluster's own reach plus the distance that the threshold allows. High thresholds on clustered vectors so leave few
     blocks; a low one, or vectors without structure, leave all, which is the cost of all products. created_at may be null (earliest).
